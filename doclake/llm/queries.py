@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard
+from . import jaccard, recompress
 from .common import documents
 
 
@@ -12,6 +12,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join,)}
+def op10_recompression_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.repeats(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join, op10_recompression_substring_dedup)}
 
 SQL = {"op7_ngram_jaccard_join": jaccard.PAIRS_SQL}
