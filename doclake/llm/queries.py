@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, recompress
-from .common import documents
+from . import crf, jaccard, recompress, spaced
+from .common import documents, table
+
+
+def op1_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.identify(documents(spark, sf_dir))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +20,10 @@ def op10_recompression_substring_dedup(spark: SparkSession, sf_dir: str) -> Data
     return recompress.repeats(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join, op10_recompression_substring_dedup)}
+def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced.hits(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join, op10_recompression_substring_dedup, op6_spaced_seed_decontamination, op1_crf_language_id)}
 
 SQL = {"op7_ngram_jaccard_join": jaccard.PAIRS_SQL}
