@@ -9,8 +9,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 WORD_SQL = r"[^\x00-/:-@\[-`{-\x7f]+"
 U = np.uint64
-MAX_BYTES = 3 << 20  # of text that numpy holds expanded at one time
+MAX_BYTES = 1 << 20  # of text that numpy holds expanded at one time
 
 _c = np.arange(256)
 IS_WORD = (_c >= 0x80) | ((_c >= 48) & (_c <= 57)) | ((_c >= 65) & (_c <= 90)) | ((_c >= 97) & (_c <= 122))
@@ -194,5 +196,22 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; the package is sent to the executors first, which needn't have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        root = Path(__file__).parents[1]
+        place = Path(tempfile.mkdtemp(prefix="doclake-")) / "doclake-code.zip"
+        with zipfile.ZipFile(place, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(place))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
