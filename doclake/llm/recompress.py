@@ -34,7 +34,7 @@ from .jaccard import BROADCAST_ROWS, by_id
 FREEZE = 6
 ROUNDS = 12
 #: Words compared beyond each end of an island.
-EDGE = 48
+EDGE = 32
 LEAST_ANCHOR = 10
 K1, K2, K3 = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
 
@@ -138,7 +138,7 @@ def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The EDGE words on either side of each wanted place, as hashes; -1 beyond the text."""
     for b in slices(batches, "text"):
         w = words(col(b, "text"))
-        h = (w.hashes() >> U(1)).view(np.int64)
+        h = (w.hashes() >> U(33)).astype(np.int32)
         at = col(b, "at")
         off, val = at.offsets.to_numpy(), at.values.to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(b.num_rows), np.diff(off))
@@ -152,8 +152,8 @@ def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = max(len(h) - 1, 0)
             x = np.where((left >= lo) & (left < hi), h[np.clip(left, 0, last)], -1) if len(h) else np.full(left.shape, -1)
             y = np.where((right < hi) & (right >= lo), h[np.clip(right, 0, last)], -1) if len(h) else np.full(left.shape, -1)
-            z = np.concatenate([x, y], 1).astype(np.int64)
-            yield pa.record_batch([pa.array(ids[r]), pa.array(p), list_of(z.ravel(), np.full(len(p), 2 * EDGE), pa.int64())], ["doc_id", "at", "edge"])
+            z = np.concatenate([x, y], 1).astype(np.int32)
+            yield pa.record_batch([pa.array(ids[r]), pa.array(p), list_of(z.ravel(), np.full(len(p), 2 * EDGE), pa.int32())], ["doc_id", "at", "edge"])
 
 
 def extend(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -173,15 +173,14 @@ def extend(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
 def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Repeated spans; see the module's docstring. Several islands may extend to one span, which is given once."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     five = "doc_id long, s long, n long, other long, os long"
     found = docs.mapInArrow(lambda bs: emit(bs, min_words), "name long, doc_id long, place long")
-    found = found.repartition(parts, "name").sortWithinPartitions("name", "doc_id", "place").mapInArrow(matches, five)
-    found = stash(found.repartition(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(islands, five), "islands")
+    found = found.repartition("name").sortWithinPartitions("name", "doc_id", "place").mapInArrow(matches, five)
+    found = stash(found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(islands, five), "islands")
     found = found.withColumn("at", F.shiftleft("s", 32) + F.col("n")).withColumn("other_at", F.shiftleft("os", 32) + F.col("n"))
     places = found.select("doc_id", "at").unionByName(found.select(F.col("other").alias("doc_id"), F.col("other_at").alias("at"))).distinct()
-    places = stash(places.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "places")
-    edge = stash(by_id(docs, places).mapInArrow(edges, "doc_id long, at long, edge array<long>").dropDuplicates(["doc_id", "at"]), "edges")
+    places = places.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    edge = stash(by_id(docs, places).mapInArrow(edges, "doc_id long, at long, edge array<int>").dropDuplicates(["doc_id", "at"]), "edges")
     other = edge.select(F.col("doc_id").alias("other"), F.col("at").alias("other_at"), F.col("edge").alias("other_edge"))
     whole = found.join(edge, ["doc_id", "at"]).join(other, ["other", "other_at"]).select("doc_id", "s", "n", "other", "os", "edge", "other_edge")
     shape = "doc_id long, start_word long, n_words long, other_doc_id long, other_start_word long"
