@@ -186,12 +186,18 @@ def _clean() -> None:
             pass
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it: its lineage ends there, and a lost executor loses nothing of it."""
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
     if not _made:
         atexit.register(_clean)
-    path = f"{shared_dir(df.sparkSession)}/doclake-{name}-{uuid.uuid4().hex}"
-    _made.append((df.sparkSession, path))
+    path = f"{shared_dir(spark)}/doclake-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it: its lineage ends there, and a lost executor loses nothing of it."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -180,7 +180,7 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     found = found.withColumn("at", F.shiftleft("s", 32) + F.col("n")).withColumn("other_at", F.shiftleft("os", 32) + F.col("n"))
     places = found.select("doc_id", "at").unionByName(found.select(F.col("other").alias("doc_id"), F.col("other_at").alias("at"))).distinct()
     places = places.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    edge = stash(by_id(docs, places).mapInArrow(edges, "doc_id long, at long, edge array<int>").dropDuplicates(["doc_id", "at"]), "edges")
+    edge = stash(by_id(docs, places, weight="size(at)").mapInArrow(edges, "doc_id long, at long, edge array<int>").dropDuplicates(["doc_id", "at"]), "edges")
     other = edge.select(F.col("doc_id").alias("other"), F.col("at").alias("other_at"), F.col("edge").alias("other_edge"))
     whole = found.join(edge, ["doc_id", "at"]).join(other, ["other", "other_at"]).select("doc_id", "s", "n", "other", "os", "edge", "other_edge")
     shape = "doc_id long, start_word long, n_words long, other_doc_id long, other_start_word long"
@@ -224,7 +224,7 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     spans = repeats(docs, min_words).select("doc_id", "start_word", "n_words").distinct()
     spans = stash(spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("n_words").alias("n"))).alias("spans")), "spans")
     names = docs.columns
-    return by_id(docs, spans, "left").mapInArrow(lambda bs: cut(bs, names), docs.schema)
+    return by_id(docs, spans, "left", "size(spans)").mapInArrow(lambda bs: cut(bs, names), docs.schema)
 
 
 __all__ = ["BROADCAST_ROWS", "anchors", "buffers", "repeats", "without_repeats"]
