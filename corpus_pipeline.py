@@ -1,24 +1,56 @@
-"""Corpus pipeline over documents; see STAGES."""
+"""Corpus pipeline over documents: language ID, near duplicates, repeated substrings, benchmark passages, mixing.
+
+A stage takes (spark, docs, sf_dir) and returns a table that is written before the next one reads it. All but the last return the
+columns of documents; the last adds n_tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import jaccard
-from doclake.llm.common import documents, stash
+from doclake.llm import budget, crf, jaccard, recompress, spaced
+from doclake.llm.common import documents, stash, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field accepts as text in a language."""
+    return crf.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones."""
     return jaccard.keep_one(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less passages of 50 words or more that occur before."""
+    return recompress.without_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return spaced.without_hits(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Half of the tokens left, equal shares for the sources."""
+    return budget.fit(docs, total=0.5, keep=docs.columns)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_substrings", repeated_substrings),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
 
+#: No SQL for the classifier, recompression or the knapsack; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
