@@ -95,8 +95,8 @@ def features(b: pa.RecordBatch) -> np.ndarray:
     l1 = np.maximum(lines, 1)
     long_share = np.bincount(row[length > 20], minlength=rows) / n1
     return np.stack([
-        np.log1p(n), np.bincount(row, weights=length, minlength=rows) / n1, *share[:7], n / l1, 1 - lines_different / l1,
-        different / n1, top / n1, np.bincount(row[length <= 3], minlength=rows) / n1, 1 - pairs_different / np.maximum(pairs, 1), long_share,
+        np.log1p(n), np.bincount(row, weights=length, minlength=rows) / n1, *share[:7], n / l1, (lines - lines_different) / l1,
+        different / n1, top / n1, np.bincount(row[length <= 3], minlength=rows) / n1, (pairs - pairs_different) / np.maximum(pairs, 1), long_share,
     ], 1)
 
 
