@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import col
 
 ROLES = ("user", "assistant", "system")
-RELABEL, UNKNOWN, MERGE, INSERT = 3, 2, 1, 2
+RELABEL, UNKNOWN, MERGE, INSERT = 4, 2, 1, 2
 #: What may follow each state; '' is the start.
 NEXT = {"": ("user", "system"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
 END = ("assistant",)
