@@ -29,11 +29,20 @@ def register(suffix: str, parser: Parser) -> None:
     PARSERS[suffix.lower().lstrip(".")] = parser
 
 
+def _empty(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of no bytes, which the source leaves out; from the folder's listing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [(s.getPath().toString(), 0, bytearray()) for s in listed if s.isFile() and s.getLen() == 0 and not s.getPath().getName().startswith((".", "_"))]
+    return spark.createDataFrame(names, "path string, length long, content binary")
+
+
 def find_files(spark: SparkSession, suites: dict[str, str]) -> DataFrame:
     """(suite, path, content, …) of the files right in each suite's folder, without its README."""
     parts = []
     for name, folder in suites.items():
         rows = spark.read.format("binaryFile").load(folder)
+        rows = rows.select("path", "length", "content").unionByName(_empty(spark, folder))
         parts.append(rows.where(F.lower(t.path_name(F.col("path"))) != "readme.md").select(F.lit(name).alias("suite"), "path", "length", "content"))
     out = parts[0]
     for p in parts[1:]:

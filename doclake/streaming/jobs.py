@@ -49,7 +49,8 @@ class JobProcessor(StatefulProcessor):
                 kept.append(r.line)
         kept = kept[-KEPT_LOG:]
         self.job.update((state, progress, log_id))
-        self.log.put([(x,) for x in kept])
+        if kept:
+            self.log.put([(x,) for x in kept])
         yield pd.DataFrame({"job": [key[0]], "state": [state], "progress": [progress], "log_id": [log_id], "kept_log": [len(kept)], "last_line": [kept[-1] if kept else None]})
 
     def close(self) -> None:
