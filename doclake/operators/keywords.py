@@ -20,12 +20,19 @@ def _grams(run: Column, no: Column) -> Column:
     return F.concat(*[of_length(n) for n in (2, 3, 4)])
 
 
+def _spread(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Documents by key over all tasks before they are blown up: a small file would be one task's work."""
+    spark = docs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return docs.select(key, text).repartition(n, key)
+
+
 def keywords(docs: DataFrame, key: str = "doc_id", text: str = "text", top: int = 15) -> DataFrame:
     """(key, rank, term, count): character n-grams met twice or more, most frequent first, then by place.
 
-    One exchange brings each document's rows to one place; counting and ranking then need no other.
+    The one exchange is of the texts, by key; counting and ranking then need no other.
     """
-    runs = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(rf"({CJK}+)"), 1)).alias("no", "run")).where("length(run) >= 2")
+    runs = _spread(docs, key, text).select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(rf"({CJK}+)"), 1)).alias("no", "run")).where("length(run) >= 2")
     grams = runs.select(key, F.inline(_grams(F.col("run"), F.col("no")))).where(~F.col("term").rlike(f"[{STOPS}]"))
     counts = grams.groupBy(key, "term").agg(F.count("*").alias("count"), F.min("first").alias("first")).where("count >= 2")
     return _ranked(counts, key, top)
@@ -38,7 +45,7 @@ def _ranked(counts: DataFrame, key: str, top: int) -> DataFrame:
 
 def word_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", top: int = 50) -> DataFrame:
     """(key, rank, term, count) of runs of two or more CJK or Latin letters."""
-    found = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"([一-龥a-zA-Z]{2,})"), 1)).alias("first", "term"))
+    found = _spread(docs, key, text).select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"([一-龥a-zA-Z]{2,})"), 1)).alias("first", "term"))
     return _ranked(found.groupBy(key, "term").agg(F.count("*").alias("count"), F.min("first").alias("first")), key, top)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.jobs import KEPT_LOG, parse_progress
 
 EVENTS = "job long, seq long, ts timestamp, action string, line string, progress double"
+FILES = "path string, modificationTime timestamp, length long, content binary"
 OUTPUT = "job long, state string, progress double, log_id long, kept_log long, last_line string"
 _ENDED = ("completed", "failed", "cancelled")
 
@@ -73,5 +74,5 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def new_files(spark: SparkSession, path: str) -> DataFrame:
     """Files that land in a folder, each content once."""
-    files = spark.readStream.format("binaryFile").load(path)
+    files = spark.readStream.format("binaryFile").schema(FILES).load(path)
     return files.withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["sha256"])

@@ -38,7 +38,7 @@ def test_lines(spark, tmp_path):
     (source / "a.log").write_text("[INFO] [2/9] suite one -> a b.txt\nnothing\n[WARNING] [3/9] s -> c.pdf\n")
     q = jobs.read_lines(spark, str(source)).writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert [(r.index, r.completed, r.suite, r.file, r.level) for r in out] == [(2, 1, "suite one", "a b.txt", "INFO"), (3, 2, "s", "c.pdf", "WARN")]
+    assert [(r["index"], r.completed, r.suite, r.file, r.level) for r in out] == [(2, 1, "suite one", "a b.txt", "INFO"), (3, 2, "s", "c.pdf", "WARN")]
 
 
 def test_new_files(spark, tmp_path):
