@@ -208,9 +208,14 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """On at most ``sample_docs`` labelled documents: those of least hash, texts and languages that are not empty."""
-    some = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)).alias("h"))
-    some = some.where("lang is not null and lang not in ('', 'und') and length(text) > 0")
-    return train([(r[0], r[1]) for r in some.orderBy("h", "lang", "text").limit(sample_docs).select("lang", "text").collect()])
+    h = F.xxhash64(F.col("doc_id").cast("long"), F.lit(11))
+    some = docs.where("lang is not null and cast(lang as string) not in ('', 'und')").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), h.alias("h"))
+    least = [r[0] for r in some.select("h").orderBy("h").limit(sample_docs).collect()]  # numbers only: each task sends at most that many
+    if not least:
+        return train([])
+    rows = some.where((F.col("h") <= max(least)) & (F.length("text") > 0)).collect()
+    rows.sort(key=lambda r: (r.h, r.lang, r.text))
+    return train([(r.lang, r.text) for r in rows[:sample_docs]])
 
 
 def label(b: pa.RecordBatch, m: Model) -> tuple[Words, np.ndarray]:
