@@ -36,6 +36,7 @@ ROUNDS = 12
 #: Words compared beyond each end of an island.
 EDGE = 32
 LEAST_ANCHOR = 10
+SPANS = "_doclake_spans"
 K1, K2, K3 = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
 
 
@@ -191,14 +192,15 @@ def cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Reco
     """Take the spans out of each text, with the white space and punctuation after them; n_chars follows."""
     for b in batches:
         for b in [b] if b.num_rows else []:
-            texts, spans = col(b, "text"), col(b, "spans").to_pylist()
+            texts, spans = col(b, "text"), col(b, SPANS).to_pylist()
             hit = [k for k, s in enumerate(spans) if s]
             new = texts.to_pylist() if hit else None
             gone = np.zeros(b.num_rows, bool)
             for k in hit:
                 w = words(texts.slice(k, 1), lower=False)
                 out, at = [], 0
-                for s, n in sorted((x["s"], x["n"]) for x in spans[k]):
+                # a span beyond the text belongs to another row of the same id
+                for s, n in sorted((x["s"], x["n"]) for x in spans[k] if x["s"] + x["n"] <= len(w.starts)):
                     lo = int(w.starts[s])
                     hi = int(w.starts[s + n]) if s + n < len(w.starts) else len(w.data)
                     if lo > at:
@@ -213,7 +215,7 @@ def cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Reco
                 c = col(b, n)
                 if hit and n == "text":
                     c = pa.array(new, pa.string())
-                elif hit and n == "n_chars":
+                elif hit and n == "n_chars" and pa.types.is_integer(c.type):
                     c = pc.if_else(pa.array(np.isin(np.arange(b.num_rows), hit)), pa.array([len(t or "") for t in new], c.type), c)
                 columns.append(c.filter(pa.array(~gone)))
             yield pa.record_batch(columns, names)
@@ -222,9 +224,9 @@ def cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Reco
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Documents less every repeated span but its first place; one left without a word goes, all others stay."""
     spans = repeats(docs, min_words).select("doc_id", "start_word", "n_words").distinct()
-    spans = stash(spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("n_words").alias("n"))).alias("spans")), "spans")
+    spans = stash(spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("n_words").alias("n"))).alias(SPANS)), "spans")
     names = docs.columns
-    return by_id(docs, spans, "left", "size(spans)").mapInArrow(lambda bs: cut(bs, names), docs.schema)
+    return by_id(docs, spans, "left", f"size({SPANS})").mapInArrow(lambda bs: cut(bs, names), docs.schema)
 
 
 __all__ = ["BROADCAST_ROWS", "anchors", "buffers", "repeats", "without_repeats"]

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-SHAPE = "doc_id long, text string, lang string, source string, n_chars long, row string, name string, size string"
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long, row string, name string, size string, spans string"
 WORD = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
 
 
@@ -14,7 +14,7 @@ def words(t):
 
 
 def row(i, text, lang="en", source="s"):
-    return (i, text, lang, source, None if text is None else len(text), "r", "n", "z")
+    return (i, text, lang, source, None if text is None else len(text), "r", "n", "z", "s")
 
 
 def prose(rng, n, vocabulary=4000):
