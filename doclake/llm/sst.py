@@ -42,10 +42,9 @@ CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 LIMITS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"div", "td", "li", "article", "section", "body", "blockquote"}}
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _NAME = re.compile(r"(?i)\b(class|id|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_SPACE = re.compile(r"\s+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     label: str
@@ -59,13 +58,20 @@ def parse(source: str) -> Node:
     """A lenient tree of elements, texts (tag '') and images."""
     root = Node("body", "body")
     stack = [root]
-    at, n = 0, len(source)
+    at, n, hidden = 0, len(source), 0
 
     def say(t: str) -> None:
-        t = _SPACE.sub(" ", entities.unescape(t) if "&" in t else t).strip()
-        if t and not any(x.tag in DROPPED for x in stack):
+        t = " ".join((entities.unescape(t) if "&" in t else t).split())
+        if t and not hidden:
             stack[-1].children.append(Node("", "#text", text=t))
 
+    def cut(k: int) -> None:
+        """Close the open elements from the k-th on."""
+        nonlocal hidden
+        if hidden:
+            hidden -= sum(x.tag in DROPPED for x in stack[k:])
+        del stack[k:]
+
     while at < n:
         i = source.find("<", at)
         if i < 0:
@@ -91,7 +97,7 @@ def parse(source: str) -> Node:
         if close:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    cut(k)
                     break
             continue
         if tag in ("script", "style"):
@@ -100,12 +106,12 @@ def parse(source: str) -> Node:
             continue
         if tag in ("html", "body"):
             while len(stack) > 1 and stack[-1].tag in DROPPED:
-                stack.pop()
+                cut(len(stack) - 1)
             continue
         if tag in CLOSES:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in CLOSES[tag]:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in LIMITS.get(tag, ()) or stack[k].tag not in INLINE and tag not in LIMITS:
                     break
@@ -118,32 +124,33 @@ def parse(source: str) -> Node:
                 else:
                     label += f" {a.group(1).lower()}={value.strip()}"
         node = Node(tag, label, text=content if tag == "img" else "")
-        if not any(x.tag in DROPPED for x in stack):
+        if not hidden:
             stack[-1].children.append(node)
         if tag not in VOID and not rest.rstrip().endswith("/"):
             stack.append(node)
+            hidden += tag in DROPPED
     return root
 
 
-def _hash(*parts: object) -> int:
-    return xxhash.xxh64_intdigest("\x00".join(map(str, parts))) - (1 << 63)
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
 def keyed(root: Node, host: str) -> list[tuple[Node, int, int]]:
     """Every node in document order with its parent's style and its depth; keys and styles are set."""
-    root.key = _hash("site", host)
+    root.key = _hash(f"site {host}")
     out, todo = [], [(root, 0, 0)]
     while todo:
         node, under, depth = todo.pop()
         out.append((node, under, depth))
         if node.tag and node.tag != "img":
-            node.style = _hash(node.key, *(c.label for c in node.children))
+            node.style = _hash(f"{node.key} " + "\x00".join([c.label for c in node.children]))
             for k in range(len(node.children) - 1, -1, -1):
                 c = node.children[k]
-                c.key = _hash(node.style, k, c.label)
+                c.key = _hash(f"{node.style} {k} {c.label}")
                 todo.append((c, node.style, depth + 1))
         else:
-            node.style = _hash("content", node.text)
+            node.style = _hash(f"content {node.text}")
     return out
 
 
