@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -16,10 +17,10 @@ from .sources.suites import resolve
 def main() -> int:
     p = argparse.ArgumentParser(prog="doclake", description="Read folders of documents.")
     p.add_argument("folders", nargs="+")
-    p.add_argument("-f", "--format", choices=sorted(FORMATS), default="txt")
+    p.add_argument("--format", "-f", default="txt", choices=sorted(FORMATS))
     p.add_argument("-o", "--output")
-    p.add_argument("--no-keywords", action="store_true")
     p.add_argument("--report")
+    p.add_argument("--no-keywords", action="store_const", const=True)
     a = p.parse_args()
     suites = resolve(a.folders)
     if not suites:
@@ -43,4 +44,4 @@ def main() -> int:
 
 
 if __name__ == "__main__":
-    raise SystemExit(main())
+    sys.exit(main())

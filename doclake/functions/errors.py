@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .text import strip
 
 FORMATS = ("PDF", "DOCX", "XLSX", "PPTX", "TXT", "CSV", "图片", "JSON")
-PACKAGES = {"docx": "python-docx", "pptx": "python-pptx", "PIL": "Pillow", "fitz": "PyMuPDF"}
+PACKAGES = dict(zip("docx pptx PIL fitz".split(), "python-docx python-pptx Pillow PyMuPDF".split(), strict=True))
 DEFAULT = ("parse_failure", "解析失败", "文档解析失败", "请检查文件内容、格式和依赖环境后重试。")
 #: Class: (category, title, hint); the first whose test holds is taken.
 CLASSES = {
@@ -20,8 +20,8 @@ CLASSES = {
     "file_not_found": ("文件缺失", "待处理文件不存在", "请确认上传成功或文件路径有效。"),
     "permission_error": ("权限不足", "文件访问权限不足", "请关闭占用文件的程序，或检查读写权限。"),
 }
-CORRUPT = ("corrupt", "badzipfile", "not a zip file", "ole2", "piece table", "fib", "clx")
-_MODULE = r"(?i)No module named ['\"]?([\w\-.]+)['\"]?"
+CORRUPT = "clx|fib|piece table|ole2|not a zip file|badzipfile|corrupt".split("|")
+_MODULE = r"""(?i)no module named ["']?([\w.-]+)"""
 
 
 def _has(t: Column, *tokens: str) -> Column:
@@ -32,7 +32,7 @@ def _has(t: Column, *tokens: str) -> Column:
 
 
 def install_hint(message: Column) -> Column:
-    pip = F.regexp_extract(message, r"(?i)(pip install [\w\-.]+)", 1)
+    pip = F.regexp_extract(message, r"(?i)(pip install [\w.-]+)", 1)
     module = F.regexp_extract(message, _MODULE, 1)
     package = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PACKAGES.items() for x in kv]), module), module)
     return F.when(pip != "", pip).when(module != "", F.concat(F.lit("pip install "), package)).otherwise("")
@@ -40,8 +40,8 @@ def install_hint(message: Column) -> Column:
 
 def dependency(message: Column) -> Column:
     """Of the module or package named first."""
-    found = F.regexp_extract(message, r"(?i)(?:No module named ['\"]?[\w\-.]+)|(?:pip install [\w\-.]+)", 0)
-    return F.coalesce(F.nullif(F.regexp_extract(found, _MODULE, 1), F.lit("")), F.regexp_extract(found, r"(?i)pip install ([\w\-.]+)", 1))
+    found = F.regexp_extract(message, r"""(?i)no module named ["']?[\w.-]+|pip install [\w.-]+""", 0)
+    return F.coalesce(F.nullif(F.regexp_extract(found, _MODULE, 1), F.lit("")), F.regexp_extract(found, r"(?i)pip install ([\w.-]+)", 1))
 
 
 def classify(error: Column) -> Column:

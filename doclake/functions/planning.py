@@ -12,7 +12,7 @@ PARSERS = {"pdf": ("pdf",), "word": ("docx", "doc"), "excel": ("xlsx", "xls"), "
 IMAGES = ("png", "jpg", "jpeg", "bmp", "tiff", "webp")
 MODES = ("accurate", "balanced", "fast")
 DEFAULT_MODE = "balanced"
-ENGINES = {"rapidocr": "RapidOCR", "paddleocr": "PaddleOCR", "tesseract": "Tesseract", "easyocr": "EasyOCR"}
+ENGINES = {name.lower(): name for name in "RapidOCR PaddleOCR Tesseract EasyOCR".split()}
 ENGINE_ORDER = ("rapidocr", "tesseract", "easyocr")
 LABELS = {"accurate": "高精度", "balanced": "平衡", "fast": "快速"}
 #: By mode: least signal, long edges aimed at and allowed, scores that end the search over pages and variants.

@@ -43,7 +43,7 @@ def normalize(t: Column) -> Column:
     """NUL to blank, no blanks at line ends, at most one empty line in a row, none around."""
     t = F.replace(t, F.lit("\x00"), F.lit(" "))
     joined = F.array_join(F.transform(lines(t), rstrip), "\n")
-    return strip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(joined, r"\n\n\n+", "\n\n"))
 
 
 def signal(t: Column) -> Column:
@@ -69,11 +69,11 @@ def ocr_score(normal: Column) -> Column:
 def clean_legacy(t: Column) -> Column:
     """Text of old word-processor pieces without control characters and field codes."""
     t = F.translate(t, "\r\x0b\x0c\x07\xa0\x13\x14\x15", "\n\n\n\t ")
-    t = F.regexp_replace(t, r"[\x00-\x08\x0e-\x1f\x7f-\x9f]+", "")
+    t = F.regexp_replace(t, r"[\x7f-\x9f\x00-\x08\x0e-\x1f]+", "")
     t = F.regexp_replace(t, "|".join(FIELD_WORDS), " ")
     t = F.regexp_replace(t, r"[ \t]{3,}", "  ")
     t = F.regexp_replace(t, r"\n[ \t]+", "\n")
-    return F.regexp_replace(t, r"\n{3,}", "\n\n")
+    return F.regexp_replace(t, r"\n\n\n+", "\n\n")
 
 
 def good_line(line: Column) -> Column:
@@ -112,7 +112,7 @@ def heading(style: Column, t: Column) -> Column:
 
 
 def log_level(line: Column) -> Column:
-    found = F.regexp_extract(line, r"\[(INFO|WARNING|ERROR|DEBUG)\]", 1)
+    found = F.regexp_extract(line, r"\[(DEBUG|INFO|ERROR|WARNING)\]", 1)
     return F.when(found == "", "INFO").when(found == "WARNING", "WARN").otherwise(found)
 
 

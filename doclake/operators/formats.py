@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from . import tables as t
 from ..functions.planning import engine_chain
 
-EXTENSIONS = {"txt": "txt", "json": "json", "markdown": "md", "csv": "csv"}
-
 
 def _ms() -> Column:
     return F.format_string("%.1fms", F.coalesce(F.col("processing_ms"), F.lit(0.0)).cast("double"))
@@ -45,6 +43,8 @@ def to_csv() -> Column:
 
 
 FORMATS: dict[str, Callable[[], Column]] = {"txt": to_txt, "json": to_json, "markdown": to_markdown, "csv": to_csv}
+#: Suffix of a format's files.
+EXTENSIONS = {name: name for name in FORMATS} | {"markdown": "md"}
 
 
 def render(name: str) -> Column:

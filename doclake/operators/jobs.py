@@ -9,7 +9,7 @@ from ..functions.planning import clamp
 from ..functions.text import log_level, strip
 
 KEPT_LOG = 400
-PROGRESS_LINE = r"\[(\d+)/(\d+)\]\s+(.*?)\s+->\s+(.+)$"
+PROGRESS_LINE = r"\[([0-9]+)/([0-9]+)\] +(.*?) +-> +(.+)"
 
 
 def parse_progress(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.errors import classify
 from ..functions.text import one_line
 
-CSV_COLUMNS = (
-    "suite", "filename", "extension", "size_bytes", "expected_success", "success", "matches_expectation", "char_count", "table_count",
-    "processing_ms", "parse_method", "ocr_engine", "error_category", "error", "path",
-)
+CSV_COLUMNS = """
+    suite filename extension size_bytes expected_success success matches_expectation char_count
+    table_count processing_ms parse_method ocr_engine error_category error path
+""".split()
 
 
 def expected(results: DataFrame, expectations: DataFrame, on: list[str]) -> DataFrame:

@@ -42,12 +42,12 @@ def markdown(found: dict[str, list], title: str = "批量报告") -> str:
     pick = lambda rows, *names: [[r[n] for n in names] for r in rows]
     parts = [
         f"# {title}", "## 总览", pipe_table(["指标", "值"], [[k, v] for k, v in total.items()]),
-        "## 测试集", pipe_table(["测试集", "总数", "成功", "失败", "平均耗时(ms)"], pick(found["suites"], "suite", "total", "success", "failed", "avg_processing_ms")),
-        "## 格式", pipe_table(["格式", "总数", "成功", "失败", "成功率", "平均耗时(ms)"], pick(found["formats"], "format", "total", "success", "failed", "success_rate_pct", "avg_processing_ms")),
-        "## 失败", pipe_table(["测试集", "文件", "预期", "实际", "错误"], pick(found["failed"], "suite", "filename", "expected_success", "success", "error")),
-        "## 不符合预期", pipe_table(["测试集", "文件", "预期", "实际"], pick(found["unexpected"], "suite", "filename", "expected_success", "success")),
-        "## 最慢", pipe_table(["测试集", "文件", "耗时(ms)", "字符数", "方式"], pick(found["slowest"][:10], "suite", "filename", "processing_ms", "char_count", "method")),
-        "## 错误", pipe_table(["类型", "次数"], pick(found["errors"], "category", "count")),
+        "## 测试集", pipe_table("测试集 总数 成功 失败 平均耗时(ms)".split(), pick(found["suites"], "suite", "total", "success", "failed", "avg_processing_ms")),
+        "## 格式", pipe_table("格式 总数 成功 失败 成功率 平均耗时(ms)".split(), pick(found["formats"], "format", "total", "success", "failed", "success_rate_pct", "avg_processing_ms")),
+        "## 失败", pipe_table("测试集 文件 预期 实际 错误".split(), pick(found["failed"], "suite", "filename", "expected_success", "success", "error")),
+        "## 不符合预期", pipe_table("测试集 文件 预期 实际".split(), pick(found["unexpected"], "suite", "filename", "expected_success", "success")),
+        "## 最慢", pipe_table("测试集 文件 耗时(ms) 字符数 方式".split(), pick(found["slowest"][:10], "suite", "filename", "processing_ms", "char_count", "method")),
+        "## 错误", pipe_table("类型 次数".split(), pick(found["errors"], "category", "count")),
     ]
     return "\n\n".join(parts) + "\n"
 

@@ -179,7 +179,7 @@ def count_cases(spark: S, d: str) -> DataFrame:
 _SUFFIXES = (".PDF", ".docx", ".doc", ".xlsx", ".xls", ".pptx", ".txt", ".md", ".json", ".csv", ".png", ".tiff", ".tif", ".bin", "")
 
 
-@query(f"""SELECT doc_id, s AS suffix, CASE WHEN k = 'pdf' THEN 'pdf' WHEN k IN ('docx', 'doc') THEN 'word' WHEN k IN ('xlsx', 'xls') THEN 'excel' WHEN k = 'pptx' THEN 'powerpoint' WHEN k IN ('txt', 'md', 'json', 'csv') THEN 'text'
+@query(f"""SELECT doc_id, s AS suffix, CASE WHEN k = 'pdf' THEN 'pdf' WHEN k IN ('docx', 'doc') THEN 'word' WHEN k IN ('xlsx', 'xls') THEN 'excel' WHEN k = 'pptx' THEN 'powerpoint' WHEN k IN ('csv', 'json', 'md', 'txt') THEN 'text'
   WHEN k IN ('png', 'jpg', 'jpeg', 'bmp', 'tiff', 'webp') THEN 'image' END AS parser FROM (SELECT doc_id, s, lower(ltrim(s, '.')) AS k FROM (SELECT doc_id, ({sql_list(_SUFFIXES)})[doc_id % {len(_SUFFIXES)} + 1] AS s FROM documents))""")
 def dispatch_parser(spark: S, d: str) -> DataFrame:
     s = i.pick(_SUFFIXES, F.col("doc_id"))

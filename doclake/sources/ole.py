@@ -119,9 +119,9 @@ _TO = str.maketrans({"\r": "\n", "\x0b": "\n", "\x0c": "\n", "\x07": "\t", "\xa0
 
 def readable(raw: str) -> str:
     """What ``functions.text`` does to legacy text, for one string."""
-    t = re.sub(r"[\x00-\x08\x0e-\x1f\x7f-\x9f]+", "", raw.translate(_TO))
+    t = re.sub(r"[\x7f-\x9f\x00-\x08\x0e-\x1f]+", "", raw.translate(_TO))
     t = re.sub("|".join(FIELD_WORDS), " ", t)
-    t = re.sub(r"\n{3,}", "\n\n", re.sub(r"\n[ \t]+", "\n", re.sub(r"[ \t]{3,}", "  ", t)))
+    t = re.sub(r"\n\n\n+", "\n\n", re.sub(r"\n[ \t]+", "\n", re.sub(r"[ \t]{3,}", "  ", t)))
     kept = []
     for line in map(str.strip, t.split("\n")):
         n = len(line)

@@ -338,7 +338,7 @@ def parse(data: bytes, suffix: str, ocr: Recognizer | None = None) -> Parsed:
 
 
 def normalize(t: str) -> str:
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip() for x in t.replace("\x00", " ").splitlines())).strip()
+    return re.sub(r"\n\n\n+", "\n\n", "\n".join(x.rstrip() for x in t.replace("\x00", " ").splitlines())).strip()
 
 
 def meaningful(t: str, least: int = 8) -> bool:

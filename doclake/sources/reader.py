@@ -60,7 +60,7 @@ def parse_files(files: DataFrame, ocr: Recognizer | None = None) -> DataFrame:
             for path, size, sha, data in zip(b["path"], b["size_bytes"], b["sha256"], b["content"], strict=True):
                 name = path.rpartition("/")[2]
                 suffix = name.rpartition(".")[2].lower() if "." in name.lstrip(".") else ""
-                row = {"path": path, "size_bytes": size, "sha256": sha, "text": "", "tables": [], "pages": [], "metadata": {}, "parse_method": "", "numbers": [], "slides": None, "error": ""}
+                row = {"path": path, "size_bytes": size, "sha256": sha, "pages": [], "metadata": {}, "tables": [], "text": "", "parse_method": "", "numbers": [], "slides": None, "error": ""}
                 try:
                     if suffix not in parsers:
                         raise ValueError(f"不支持的文件格式: {'.' * bool(suffix)}{suffix}")

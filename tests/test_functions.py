@@ -27,7 +27,7 @@ def values(spark, texts, column):
 
 
 def norm(t: str) -> str:
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip() for x in t.replace("\0", " ").splitlines())).strip()
+    return re.sub(r"\n\n\n+", "\n\n", "\n".join(x.rstrip() for x in t.replace("\0", " ").splitlines())).strip()
 
 
 @pytest.mark.parametrize(
