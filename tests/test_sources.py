@@ -58,8 +58,8 @@ def pdf_file(content: bytes, flate: bool = False) -> bytes:
     head = b"/Filter /FlateDecode " if flate else b""
     objects = [
         b"<</Pages 2 0 R/Type/Catalog>>", b"<</Count 1/Kids[3 0 R]/Type/Pages>>",
-        b"<</Contents 4 0 R/Parent 2 0 R/Type/Page/Resources<</Font<</F1 5 0 R>>>>>>",
-        b"<<" + head + b"/Length %d>>stream\n" % len(body) + body + b"\nendstream", b"<</BaseFont/Helvetica/Subtype/Type1/Type/Font>>",
+        b"<</Contents 4 0 R/Resources 6 0 R/Parent 2 0 R/Type/Page>>",
+        b"<<" + head + b"/Length %d>>stream\n" % len(body) + body + b"\nendstream", b"<</BaseFont/Helvetica/Subtype/Type1/Type/Font>>", b"<</Font<</F1 5 0 R>>>>",
     ]
     return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in enumerate(objects, 1)) + b"%%EOF"
 
