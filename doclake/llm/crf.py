@@ -213,9 +213,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     least = [r[0] for r in some.select("h").orderBy("h").limit(sample_docs).collect()]  # numbers only: each task sends at most that many
     if not least:
         return train([])
-    rows = some.where((F.col("h") <= max(least)) & (F.length("text") > 0)).collect()
-    rows.sort(key=lambda r: (r.h, r.lang, r.text))
-    return train([(r.lang, r.text) for r in rows[:sample_docs]])
+    rows = some.where((F.col("h") <= max(least)) & (F.length("text") > 0)).orderBy("h", "lang", "text").limit(sample_docs).collect()
+    return train([(r.lang, r.text) for r in rows])
 
 
 def label(b: pa.RecordBatch, m: Model) -> tuple[Words, np.ndarray]:
