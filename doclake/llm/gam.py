@@ -242,8 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = features(b)
             yield pa.record_batch([col(b, "doc_id"), col(b, "y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rows = slim.join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, y int, x array<double>").collect()
-    rows.sort(key=lambda r: (r[0], r[2]))
+    rows = slim.join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, y int, x array<double>").orderBy("doc_id", "x").limit(sample).collect()
     return train(np.array([r[2] for r in rows]).reshape(len(rows), -1), np.array([r[1] for r in rows], float)) if rows else Model()
 
 
