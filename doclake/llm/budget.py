@@ -96,7 +96,7 @@ def fit(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.coalesce(tokens.cast("long"), F.lit(0)).alias("n_tokens"), F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("_row"),
     ).where("n_tokens > 0")
-    counts = stash(rows.groupBy("source", "n_tokens").count(), "lengths")
+    counts = stash(rows.groupBy("source", "n_tokens").count(), "lengths", slim=True)
     by = counts.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("count")).alias("has"))
     if weights is None:
         share = F.lit(1.0)
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
             some = n > 0
             yield pa.record_batch([col(b, "source").filter(pa.array(some)), col(b, "n_tokens").filter(pa.array(some)), pa.array(n[some])], ["source", "n_tokens", "take"])
 
-    plan = stash(counts.join(by, "source").select("source", "n_tokens", "count", "budget").groupBy("source").applyInArrow(solve, "source string, n_tokens long, take long"), "takes")
+    plan = stash(counts.join(by, "source").select("source", "n_tokens", "count", "budget").groupBy("source").applyInArrow(solve, "source string, n_tokens long, take long"), "takes", slim=True)
     small = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     chosen = rows.join(F.broadcast(plan) if small else plan, ["source", "n_tokens"]).withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
     rank = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy("_h", "doc_id"))

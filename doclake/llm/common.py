@@ -7,6 +7,7 @@ the same words are ``regexp_extract_all(lower(text), WORD_SQL)``. A null text ha
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -195,8 +196,12 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it: its lineage ends there, and a lost executor loses nothing of it."""
+def stash(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it: its lineage ends there, and a lost executor loses nothing of it.
+
+    ``slim``: far smaller than what it is made of; it is gathered into few files first.
+    """
+    df = df.hint("rebalance") if slim else df
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -210,12 +215,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
-        root = Path(__file__).parents[1]
-        place = Path(tempfile.mkdtemp(prefix="doclake-")) / "doclake-code.zip"
-        with zipfile.ZipFile(place, "w") as z:
+        root, packed = Path(__file__).parents[1], io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))
-        sc.addPyFile(str(place))
+        place = f"{folder(spark, 'code')}/doclake-code.zip"
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        sc.addPyFile(place)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

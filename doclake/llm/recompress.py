@@ -177,7 +177,7 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     five = "doc_id long, s long, n long, other long, os long"
     found = docs.mapInArrow(lambda bs: emit(bs, min_words), "name long, doc_id long, place long")
     found = found.repartition("name").sortWithinPartitions("name", "doc_id", "place").mapInArrow(matches, five)
-    found = stash(found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(islands, five), "islands")
+    found = stash(found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(islands, five), "islands", slim=True)
     found = found.withColumn("at", F.shiftleft("s", 32) + F.col("n")).withColumn("other_at", F.shiftleft("os", 32) + F.col("n"))
     places = found.select("doc_id", "at").unionByName(found.select(F.col("other").alias("doc_id"), F.col("other_at").alias("at"))).distinct()
     places = places.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
@@ -224,7 +224,7 @@ def cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Reco
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Documents less every repeated span but its first place; one left without a word goes, all others stay."""
     spans = repeats(docs, min_words).select("doc_id", "start_word", "n_words").distinct()
-    spans = stash(spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("n_words").alias("n"))).alias(SPANS)), "spans")
+    spans = stash(spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("n_words").alias("n"))).alias(SPANS)), "spans", slim=True)
     names = docs.columns
     return by_id(docs, spans, "left", f"size({SPANS})").mapInArrow(lambda bs: cut(bs, names), docs.schema)
 

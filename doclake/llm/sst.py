@@ -265,7 +265,7 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def found(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from branches(key, batches, threshold)
 
-    bad = stash(shared.groupBy("host").applyInArrow(found, "host string, node long"), "branches")
+    bad = stash(shared.groupBy("host").applyInArrow(found, "host string, node long"), "branches", slim=True)
     small = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     bad = bad.groupBy("host").agg(F.collect_list("node").alias("gone"))
     joined = pages.join(F.broadcast(bad) if small else bad, "host", "left")
