@@ -7,6 +7,7 @@ the same words are ``regexp_extract_all(lower(text), WORD_SQL)``. A null text ha
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import tempfile
 import uuid
@@ -102,7 +103,17 @@ def words(a: pa.Array, lower: bool = True) -> Words:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = MAX_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows with about ``most`` bytes of text and under 60,000 rows; a longer row stays whole."""
+    """Cut batches into runs of rows with about ``most`` bytes of text and under 60,000 rows; a longer row stays whole.
+
+    At the end the memory that this took goes back to the system: workers live on, and an executor has several.
+    """
+    yield from _slices(batches, column, most)
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def _slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
