@@ -97,7 +97,8 @@ def paragraphs(t: Column, by: str) -> Column:
 
 def collapse_adjacent(a: Column) -> Column:
     """An array without entries equal to the one before."""
-    return F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
+    before = F.concat(F.array(F.lit(None).cast("string")), a)  # one longer; its last has no partner
+    return F.filter(F.zip_with(a, before, lambda x, y: F.when(y.isNull() | (x != y), x)), lambda x: x.isNotNull())
 
 
 def tail(t: Column, limit: int) -> Column:

@@ -49,17 +49,23 @@ def word_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", top
     return _ranked(found.groupBy(key, "term").agg(F.count("*").alias("count"), F.min("first").alias("first")), key, top)
 
 
+def _times(sentence: Column, pair: Column) -> Column:
+    """Places of a pair of characters, overlapping ones too, which only a pair of equal ones has."""
+    first = F.substring(pair, 1, 1)
+    apart = (F.length(sentence) - F.length(F.replace(sentence, pair, F.lit("")))) / 2
+    return F.when(first != F.substring(pair, 2, 1), apart).otherwise(F.regexp_count(sentence, F.concat(first, F.lit("(?="), first, F.lit(")")))).cast("long")
+
+
 def _score(sentence: Column, weights: Column) -> Column:
-    at = F.when(F.length(sentence) > 1, F.sequence(F.lit(1), F.length(sentence) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(at, F.lit(0).cast("long"), lambda s, i: s + F.coalesce(F.element_at(weights, F.substring(sentence, i, F.lit(2))), F.lit(0).cast("long")))
+    return F.aggregate(weights, F.lit(0).cast("long"), lambda s, w: s + w["count"] * _times(sentence, w["term"]))
 
 
 def summaries(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 5) -> DataFrame:
     """(key, summary): the sentences whose character pairs are keywords most often, in their order."""
     top = keywords(docs, key, text, 20).where("length(term) = 2")
-    weights = top.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "count"))).alias("weights"))
+    weights = top.groupBy(key).agg(F.collect_list(F.struct("term", "count")).alias("weights"))
     sentences = F.filter(F.transform(F.split(F.col(text), "[。！？\n]", -1), strip), lambda s: F.length(s) > 10)
-    both = docs.select(key, F.col(text).alias("text"), sentences.alias("sentences")).join(weights, key, "left")
-    scored = F.transform("sentences", lambda s, i: F.struct((-_score(s, F.coalesce("weights", F.create_map().cast("map<string,bigint>")))).alias("k"), i.alias("i"), s.alias("s")))
+    both = _spread(docs, key, text).select(key, F.col(text).alias("text"), sentences.alias("sentences")).join(weights, key, "left")
+    scored = F.transform("sentences", lambda s, i: F.struct((-_score(s, F.coalesce("weights", F.array().cast("array<struct<term:string,count:bigint>>")))).alias("k"), i.alias("i"), s.alias("s")))
     best = F.transform(F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, most), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
     return both.select(key, F.when(F.size("sentences") == 0, F.substring("text", 1, 200)).otherwise(F.concat(F.array_join(best, "。"), F.lit("。"))).alias("summary"))
