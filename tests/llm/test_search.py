@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import prose, row, words  # noqa: F401
 
@@ -52,6 +54,25 @@ def test_join_finds_all_pairs(table, corpus, n, t):
     assert got == want
 
 
+def test_default_is_word_pairs_at_0_7(table):
+    base = [f"w{k}" for k in range(60)]
+    near, far = list(base), list(base)
+    for k in (10, 20, 30, 40, 50):
+        near[k] = "x"  # 49 of 69 pairs of words are shared, 43 of 73 triples
+    for k in (5, 15, 25, 35, 45, 55):
+        far[k] = "y"
+    d = [row(i, " ".join(t)) for i, t in enumerate([base, near, far])]
+    assert {tuple(r) for r in jaccard.join(table(d)).collect()} == {(0, 1, 49 / 69)}
+    assert sorted(r.doc_id for r in jaccard.keep_one(table(d)).collect()) == [0, 2]
+
+
+def test_default_agrees_with_sql(table, corpus):
+    documents = pa.table({"doc_id": [r[0] for r in corpus], "text": [r[1] for r in corpus]})  # noqa: F841
+    want = {tuple(r) for r in duckdb.sql(jaccard.PAIRS_SQL).fetchall()}
+    assert want == {tuple(r) for r in jaccard.join(table(corpus), 2, 0.7).collect()}
+    assert want == {tuple(r) for r in jaccard.join(table(corpus)).collect()}
+
+
 def test_groups(table, corpus):
     pairs = [(r[0], r[1]) for r in jaccard.join(table(corpus)).collect()]
     parent = {r[0]: r[0] for r in corpus}
