@@ -10,7 +10,12 @@ build the same keys apart, and merging is counting. With m pages through an elem
   children has 0, and a style of one page has 1, as all below it does.
 
 An element is noise if its importance and that of all elements below it is under ``THRESHOLD``; the topmost such branches go from
-every page. Counts cover all pages; a host's nodes met once aren't gathered, as their importance is known to be 1.
+every page. Boilerplate that rotates has a high importance, as each of its contents is met on few pages, so whole branches (an element
+with all below it as one content) are compared too: from the root down, siblings in a style that half of the host's pages have, by
+1 - content importance, at the least that of the branch they stand in, and of one pair of equal pages. The widest gap between two in
+order parts recurring from one-off ones, if it is a factor of ``GAP`` and a ``SHARE`` of the pages have a content met again; what recurs
+goes from every page, below the rest the same is done. A host with less than two pairs of equal branches can't be parted so.
+Counts cover all pages; a host's nodes met once aren't gathered, as their importance is known to be 1.
 
 Result: ``page_id, host, text, n_nodes, n_removed`` for every page; text has one line per block. Scripts, styles, comments and the
 head are not content. Null or empty html gives an empty text; a page with no host is a site by itself; null ids and repeated rows
@@ -33,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import col, longs, stash
 
 THRESHOLD, DAMPING = 0.2, 0.9
+#: Least factor between branches that recur and those that don't, and least share of pages whose branch is met on another page.
+GAP, SHARE = 2.0, 0.1
 #: Noise branches that a join may broadcast; beyond it pages and branches are shuffled by host.
 BROADCAST_ROWS = 500_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -159,19 +166,31 @@ def _pages(b: pa.RecordBatch) -> Iterator[tuple[str, str]]:
         yield host, source or ""
 
 
+def contents(found: list[tuple[Node, int, int]]) -> dict[int, int]:
+    """Key of every element of a page -> hash of all below it."""
+    out: dict[int, int] = {}
+    for x, _, _ in reversed(found):
+        if x.tag and x.tag != "img":
+            out[x.key] = _hash(f"{x.style} " + " ".join([str(out.get(c.key, c.style)) for c in x.children]))
+    return out
+
+
 def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, under, depth, leaf, style) of every node of every page."""
+    """(host, node, under, depth, leaf, style) of every node of every page, and once more of every element with leaf null and its content as style."""
     for b in batches:
         for at in range(0, b.num_rows, 500):
             hosts, node, under, depth, leaf, style = [], [], [], [], [], []
             for host, source in _pages(b.slice(at, 500)):
-                for x, u, d in keyed(parse(source), host):
-                    hosts.append(host)
-                    node.append(x.key)
-                    under.append(u)
-                    depth.append(d)
-                    leaf.append(not x.tag or x.tag == "img")
-                    style.append(x.style)
+                all_nodes = keyed(parse(source), host)
+                whole = contents(all_nodes)
+                for x, u, d in all_nodes:
+                    for is_leaf, s in ((False, x.style), (None, whole[x.key])) if x.key in whole else ((True, x.style),):
+                        hosts.append(host)
+                        node.append(x.key)
+                        under.append(u)
+                        depth.append(d)
+                        leaf.append(is_leaf)
+                        style.append(s)
             if node:
                 yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(node, pa.int64()), pa.array(under, pa.int64()), pa.array(depth, pa.int32()), pa.array(leaf), pa.array(style, pa.int64())], ["host", "node", "under", "depth", "leaf", "style"])
 
@@ -206,13 +225,54 @@ def noise(nodes_of: dict[int, tuple[int, int, bool, list[tuple[int, int]], int,
     return [k for k in nodes_of if quiet[k] and not quiet.get(parent.get(nodes_of[k][0], 0), False)]
 
 
+def recurring(nodes_of: dict[int, tuple[int, int, bool, list[tuple[int, int]], int, float]], whole: dict[int, tuple[list[tuple[int, int]], int, float]], threshold: float) -> list[int]:
+    """Topmost branches of one host that recur, told by the widest gap; whole: element -> (contents met more than once, pages, contents)."""
+    root = next((k for k, v in nodes_of.items() if v[1] == 0), None)
+    if root is None:
+        return []
+    pages = nodes_of[root][4]
+    below: dict[int, list[int]] = {}
+    for k, v in nodes_of.items():
+        below.setdefault(v[0], []).append(k)
+
+    def repeat(k: int) -> tuple[float, float]:
+        """1 - content importance, and the share of pages whose content is met again."""
+        again, m, kinds = whole[k] if k in whole else nodes_of[k][3:]
+        return float(sum(np.log(n) for _, n in again) / np.log(m) / kinds), sum(n for _, n in again) / m
+
+    out, todo = [], [root]
+    while todo:
+        k = todo.pop()
+        if nodes_of[k][2]:
+            continue
+        for s, n in nodes_of[k][3]:
+            if 2 * n < pages:
+                continue
+            floor = max(float(np.log(2) / np.log(n) / max(n - 1, 1)), repeat(k)[0])
+            # what is under the importance limit by itself isn't compared
+            some = {c: (max(r, floor), share) for c in below.get(s, []) for r, share in [repeat(c)] if 1 - r >= threshold}
+            order = [floor, *sorted(r for r, _ in some.values())]
+            wide, limit = max(((b / a, b) for a, b in zip(order, order[1:], strict=False)), default=(0.0, 0.0))
+            for c, (r, share) in some.items():
+                if wide >= GAP and r >= limit and share >= SHARE:
+                    out.append(c)
+                else:
+                    todo.append(c)
+    return out
+
+
 def branches(key: tuple, batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     found: dict[int, tuple[int, int, bool, list[tuple[int, int]], int, float]] = {}
+    whole: dict[int, tuple[list[tuple[int, int]], int, float]] = {}
     for b in batches:
         styles = col(b, "styles").to_pylist()
         for k, u, d, leaf, m, kinds, s in zip(longs(b, "node"), longs(b, "under"), longs(b, "depth"), col(b, "leaf").to_pylist(), longs(b, "pages"), longs(b, "kinds"), styles, strict=True):
-            found[int(k)] = (int(u), int(d), leaf, [(x["style"], x["n"]) for x in s or []], int(m), float(kinds))
-    out = noise(found, threshold)
+            some = [(x["style"], x["n"]) for x in s or []]
+            if leaf is None:
+                whole[int(k)] = (some, int(m), float(kinds))
+            else:
+                found[int(k)] = (int(u), int(d), leaf, some, int(m), float(kinds))
+    out = sorted({*noise(found, threshold), *recurring(found, whole, threshold)})
     yield pa.record_batch([pa.array([key[0].as_py()] * len(out), pa.string()), pa.array(out, pa.int64())], ["host", "node"])
 
 

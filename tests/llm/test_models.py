@@ -313,6 +313,21 @@ def test_site_style_tree(spark):
     assert sst.extract(d.where("false")).count() == 0
 
 
+def test_rotating_boilerplate(spark):
+    story = lambda k: f"Story number {k} about things"
+    html = lambda k, j: f"<body><nav><ul><li><a href=/>To {j}</a></li><li><a href=/x>About {j % 3}</a></li></ul></nav><div class=ad>Buy {j} now</div><article><h1>{story(k)}</h1>{'<p>More</p>' * (k % 4)}</article><footer>Company {j}</footer></body>"
+    few = [page(k, html(k, k % 25), "few.example") for k in range(30)]  # 5 of 25 blocks are met twice
+    many = [page(1000 + k, html(k, k % 60), "many.example") for k in range(320)]
+    copies = [page(2000 + k, html(k // 2 if k < 40 else k, k % 60), "copies.example") for k in range(320)]  # 20 stories have a copy
+    never = [page(3000 + k, html(k, k), "never.example") for k in range(40)]
+    twice = [page(4000 + k, html(k // 2, k // 2), "twice.example") for k in range(40)]  # whole pages recur, no branch more than another
+    got = {r.page_id: r.text for r in sst.extract(spark.createDataFrame(few + many + copies + never + twice, PAGES)).collect()}
+    for pages in (few, many, copies):
+        assert all("Story" in got[p[0]] and not any(x in got[p[0]] for x in ("To ", "About", "Buy", "Company")) for p in pages)
+    for pages in (never, twice):
+        assert all(all(x in got[p[0]] for x in ("Buy", "Company", "To ")) for p in pages)
+
+
 def test_importance_by_hand():
     # root with one style for 4 pages: a leaf equal on all, one different on all; and a lone style of a fifth page
     nodes = {1: (0, 0, False, [(10, 4)], 5, 2.0), 2: (10, 1, True, [(77, 4)], 4, 1.0), 3: (10, 1, True, [], 4, 4.0)}
