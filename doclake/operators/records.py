@@ -59,17 +59,18 @@ def grouping_sets(records: DataFrame) -> DataFrame:
     return sets.agg(F.grouping_id().cast("long").alias("level"), *measures()).select("level", "suite", "format", "total", "success", "failed", "char_count_total", "table_count_total", "success_rate_pct", "avg_processing_ms")
 
 
-def first(records: DataFrame, n: int, order: list[Column], where: Column | None = None) -> DataFrame:
-    """The first n in an order that leaves no ties."""
+def first(records: DataFrame, n: int | None, order: list[Column], where: Column | None = None) -> DataFrame:
+    """The first n, or all, in an order that leaves no ties."""
     rows = records if where is None else records.where(where)
-    return rows.orderBy(*order).limit(n)
+    rows = rows.orderBy(*order)
+    return rows if n is None else rows.limit(n)
 
 
 def failed_cases(records: DataFrame, n: int = 20) -> DataFrame:
     return first(records, n, [F.col("ord")], ~F.col("success")).select("ord", "suite", "filename", one_line(F.col("error"), 120).alias("error"), "expected_success", "success")
 
 
-def unexpected_cases(records: DataFrame, n: int = 20) -> DataFrame:
+def unexpected_cases(records: DataFrame, n: int | None = 20) -> DataFrame:
     return first(records, n, [F.col("ord")], F.col("matches_expectation") == F.lit(False)).select("ord", "suite", "filename", "expected_success", "success")
 
 

@@ -39,6 +39,18 @@ def test_process_and_report(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "texts").glob("file=*")) == ["file=a_extracted.md", "file=b_extracted.md", "file=c_extracted.md"]
 
 
+def test_report_lists_all_unexpected_cases(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(60):
+        (tmp_path / "in" / f"f{k:02}.txt").write_text("text")
+    expectations = spark.createDataFrame([("s", f"f{k:02}.txt", False) for k in range(60)], "suite string, filename string, expected_success boolean")
+    found = reports.gather(records_of(process(spark, {"s": str(tmp_path / "in")}, "markdown"), expectations))
+    assert found["all"][0]["unexpected_count"] == 60
+    part = reports.markdown(found).split("## 不符合预期")[1].split("## ")[0]
+    assert [k for k in range(60) if f"| s | f{k:02}.txt | False | True |" not in part] == []
+    assert reports.html(found).split("<h2>不符合预期</h2>")[1].split("<h2>")[0].count("<tr>") == 21
+
+
 def test_evaluation(spark, tmp_path):
     make(tmp_path / "in")
     items = [{"path": "in/a.txt", "expected_success": True, "min_char_count": 5, "must_contain": ["文档"]}, {"path": "in/none.txt", "expected_success": True}, {"path": "in/c.bin", "expected_success": False}]
