@@ -4,7 +4,7 @@ A word's features are its byte n-grams of 2 to 4 (those that touch a word's edge
 buckets, and its membership in each language's lexicon, the most frequent words of the training sample. Feature weights and the
 transition matrix between labels are learned together by the conditional likelihood's gradient (forward-backward, Adagrad) on
 code-switched sequences: stretches of documents in different languages put one after another. The training sample is bounded:
-``SAMPLE_DOCS`` labelled documents by least hash of the id, ``TRAIN_WORDS`` words. A label ``und`` is learned from made-up digits and
+``SAMPLE_DOCS`` labelled documents by least hash of the id, ``TRAIN_WORDS`` words. All languages of the sample are learned. A label ``und`` is learned from made-up digits and
 random letters.
 
 Every word of every document is then labelled by its posterior (forward-backward over the whole text, in blocks that are chained
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, col, mix, slices, words
+from .common import MAX_BYTES, U, Words, col, mix, slices, words
 
 FEATURES = 1 << 16
 SAMPLE_DOCS, TRAIN_WORDS = 1000, 60_000
@@ -38,8 +38,14 @@ BLOCK = 64
 SHAPE = "doc_id long, lang string, share double, confidence double, n_words long, n_switches long, spans array<struct<start:int,end:int,lang:string>>, accepted boolean"
 
 
-def features(w: Words, at: np.ndarray, h: np.ndarray, lexicon: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word (index in ``at``) and feature of each feature that holds. ``lexicon``: sorted hashes; ``member``: their languages as bits."""
+def reserved(langs: int) -> int:
+    """First features, one for each language's lexicon; 64 at least."""
+    return max(64, langs + 1)
+
+
+def features(w: Words, at: np.ndarray, h: np.ndarray, lexicon: np.ndarray, member: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word (index in ``at``) and feature of each feature that holds. ``lexicon``: sorted hashes, one for each language that has the word;
+    ``member``: that language; ``own``: features reserved for lexicons."""
     size = w.ends[at] - w.starts[at] + 2
     first = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(at)), size)
@@ -54,15 +60,13 @@ def features(w: Words, at: np.ndarray, h: np.ndarray, lexicon: np.ndarray, membe
                 g = (g << U(8)) | text[k : k + len(g)]
             ok = inside[: len(g)] + n <= size[owner[: len(g)]]
             who.append(owner[: len(g)][ok])
-            what.append((mix(g[ok] + U(n << 40)) >> U(48)).astype(np.int64) % (FEATURES - 64) + 64)
+            what.append((mix(g[ok] + U(n << 40)) >> U(48)).astype(np.int64) % (FEATURES - 64) + own)
     if len(lexicon):
-        i = np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)
-        for k in range(60):
-            if not (member >> k).any():
-                break
-            hit = np.flatnonzero((lexicon[i] == h) & ((member[i] >> k) & 1 == 1))
-            who.append(hit)
-            what.append(np.full(len(hit), k + 1))
+        i = np.searchsorted(lexicon, h)
+        times = np.searchsorted(lexicon, h, side="right") - i
+        hit = np.repeat(np.arange(len(h)), times)
+        who.append(hit)
+        what.append(member[i[hit] + np.arange(len(hit)) - (np.cumsum(times) - times)[hit]] + 1)
     return np.concatenate(who), np.concatenate(what)
 
 
@@ -148,25 +152,27 @@ class Model:
 
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """From (language, text) rows."""
-    langs = sorted({r[0] for r in rows})[:60]
+    langs = sorted({r[0] for r in rows})
     labels = [*langs, "und"]
     if not langs:
         return Model(labels, np.zeros((FEATURES, 1)), np.zeros((1, 1)), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     rng = np.random.default_rng(seed)
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789"))
     made = [" ".join("".join(rng.choice(letters[26:] if rng.random() < 0.4 else letters, rng.integers(1, 12))) for _ in range(300)) for _ in range(8)]
-    texts = [(langs.index(a), t) for a, t in rows if a in langs] + [(len(langs), t) for t in made]
+    at_lang = {a: k for k, a in enumerate(langs)}
+    texts = [(at_lang[a], t) for a, t in rows] + [(len(langs), t) for t in made]
     w = words(pa.array([t for _, t in texts], pa.string()))
     h, kind = w.hashes(), np.array([k for k, _ in texts])
     of_label = kind[w.row()]
 
-    top: dict[int, int] = {}
+    top: list[tuple[int, int]] = []
     for k in range(len(langs)):
         u, c = np.unique(h[of_label == k], return_counts=True)
         for x in u[np.lexsort((u, -c))[:LEXICON]][: int((c > 1).sum())]:
-            top[int(x)] = top.get(int(x), 0) | (1 << k)
-    lexicon = np.array(sorted(top), np.uint64)
-    member = np.array([top[int(x)] for x in lexicon], np.int64)
+            top.append((int(x), k))
+    top.sort()
+    lexicon = np.array([x for x, _ in top], np.uint64)
+    member = np.array([k for _, k in top], np.int64)
 
     by = [[i for i in range(len(texts)) if kind[i] == k and w.of[i + 1] > w.of[i]] for k in range(len(labels))]
     live = [k for k in range(len(labels)) if by[k]]
@@ -184,10 +190,11 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     code, uniq = pd.factorize(h[idx])
     first = np.zeros(len(uniq), np.int64)
     first[code[::-1]] = idx[::-1]
-    who, what = features(w, first, uniq, lexicon, member)
-    L = len(labels)
-    weight, trans = np.zeros((FEATURES, L)), np.zeros((L, L))
-    gw, gt = np.full((FEATURES, L), 1e-6), np.full((L, L), 1e-6)
+    L, own = len(labels), reserved(len(langs))
+    size = FEATURES - 64 + own
+    who, what = features(w, first, uniq, lexicon, member, own)
+    weight, trans = np.zeros((size, L)), np.zeros((L, L))
+    gw, gt = np.full((size, L), 1e-6), np.full((L, L), 1e-6)
     truth = np.eye(L)[gold]
     inner = np.ones(len(idx), bool)
     inner[of[:-1]] = False
@@ -197,7 +204,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     for _ in range(ROUNDS):
         post, pairs = posteriors(emissions(who, what, len(uniq), weight)[code], of, trans)
         d = truth - post
-        dw = np.stack([np.bincount(what, weights=np.bincount(code, weights=d[:, k], minlength=len(uniq))[who], minlength=FEATURES) for k in range(L)], 1) - 0.05 * weight
+        dw = np.stack([np.bincount(what, weights=np.bincount(code, weights=d[:, k], minlength=len(uniq))[who], minlength=size) for k in range(L)], 1) - 0.05 * weight
         dt = seen - pairs - 0.05 * trans
         gw += dw * dw
         gt += dt * dt
@@ -225,10 +232,15 @@ def label(b: pa.RecordBatch, m: Model) -> tuple[Words, np.ndarray]:
     code, uniq = pd.factorize(h)
     first = np.zeros(len(uniq), np.int64)
     first[code[::-1]] = np.arange(len(h))[::-1]
-    who, what = features(w, first, uniq, m.lexicon, m.member)
+    who, what = features(w, first, uniq, m.lexicon, m.member, reserved(len(m.labels) - 1))
     return w, posteriors(emissions(who, what, len(uniq), m.weight)[code], w.of, m.trans)[0]
 
 
+def held(m: Model) -> int:
+    """Bytes of text labelled at one time: fewer with many labels, as a block's matrix has a row and a column for each."""
+    return MAX_BYTES * 60**2 // max(len(m.labels), 60) ** 2
+
+
 def judge(b: pa.RecordBatch, m: Model) -> dict[str, np.ndarray]:
     w, post = label(b, m)
     n = np.diff(w.of)
@@ -256,7 +268,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         names = pa.array(m.labels)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", held(m)):
             j = judge(b, m)
             some = j["words"] > 0
             start = np.flatnonzero(j["turn"])
@@ -278,7 +290,7 @@ def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     sent, shape = docs.sparkSession.sparkContext.broadcast(model or fit(docs)), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", held(sent.value)):
             yield b.filter(pa.array(judge(b, sent.value)["ok"]))
 
     return docs.mapInArrow(run, shape)

@@ -64,6 +64,19 @@ def test_code_switching(spark, sf, table):
     assert np.mean([a == b for a, b in zip(got, gold, strict=True)]) > 0.9
 
 
+def test_more_than_60_languages(table, monkeypatch):
+    monkeypatch.setattr(crf, "TRAIN_WORDS", 12_000)
+    rng = random.Random(3)
+    own = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)] for k in range(70)}
+    model = crf.train([(k, " ".join(rng.choices(v, k=200))) for k, v in own.items()])
+    assert model.labels == [*own, "und"]
+    got = {r.doc_id: (r.lang, r.accepted) for r in crf.identify(table([row(k, " ".join(rng.choices(own[f"l{k:02}"], k=40))) for k in range(70)]), model).collect()}
+    assert got == {k: (f"l{k:02}", True) for k in range(70)}
+    both = crf.train([("a", "one two one two"), ("b", "two three two three")])  # a word of two lexicons counts for both
+    assert sorted(both.member) == [0, 0, 1, 1]
+    assert len(set(both.lexicon.tolist())) == 3
+
+
 def test_language_odd_rows(odd, empty):
     got = crf.identify(odd)
     rows = got.collect()
