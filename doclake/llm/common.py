@@ -28,6 +28,7 @@ MAX_BYTES = 1 << 20  # of text that numpy holds expanded at one time
 _c = np.arange(256)
 IS_WORD = (_c >= 0x80) | ((_c >= 48) & (_c <= 57)) | ((_c >= 65) & (_c <= 90)) | ((_c >= 97) & (_c <= 122))
 _BYTE = np.random.default_rng(0x5EED).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
+_BYTE2 = np.random.default_rng(0xB17E).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _B, _INV = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -42,14 +43,18 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) <= n:
-        n = max(n + 1, MAX_BYTES * 2)
-        for k, base in enumerate((_B, _INV)):
-            p = np.full(n, base)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
-    return _powers[0], _powers[1]
+def power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse up to the n-th. A worker keeps a table of 2 * MAX_BYTES of them, longer ones only as long as they are used."""
+    if len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_B, _INV):
+        p = np.full(max(n + 1, MAX_BYTES * 2), base)
+        p[0] = 1
+        made.append(np.cumprod(p))
+    if n < MAX_BYTES * 2:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 @dataclass
@@ -62,12 +67,20 @@ class Words:
     of: np.ndarray
     rows: int
 
-    def hashes(self) -> np.ndarray:
-        power, inverse = _power(len(self.data) + 1)
-        with np.errstate(over="ignore"):
-            s = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * power[: len(self.data)], out=s[1:])
-            return mix((s[self.ends] - s[self.starts]) * inverse[self.starts])
+    def hashes(self, other: bool = False) -> np.ndarray:
+        """A hash of each word, or another one independent of it; bytes are expanded MAX_BYTES at a time, so a very long text takes no more."""
+        byte, out, at = _BYTE2 if other else _BYTE, np.empty(len(self.starts), np.uint64), 0
+        while at < len(out):
+            lo = int(self.starts[at])
+            to = max(at + 1, int(np.searchsorted(self.ends, lo + MAX_BYTES, side="right")))
+            data = self.data[lo : int(self.ends[to - 1])]
+            up, down = power(len(data) + 1)
+            with np.errstate(over="ignore"):
+                s = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum(byte[data] * up[: len(data)], out=s[1:])
+                out[at:to] = mix((s[self.ends[at:to] - lo] - s[self.starts[at:to] - lo]) * down[self.starts[at:to] - lo])
+            at = to
+        return out
 
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.of))
@@ -180,20 +193,27 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, a new temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset on a session of one machine, a new temporary one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is unset: on {master} it has to name a folder that all executors share")
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="doclake-"))
         place = _local[0]
     return place.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; its folder goes with the cluster
             pass
 
@@ -215,7 +235,19 @@ def stash(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     df = df.hint("rebalance") if slim else df
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _stashed[id(out)] = (out, path)
+    return out
+
+
+_stashed: dict[int, tuple[DataFrame, str]] = {}
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing will read again."""
+    for t in tables:
+        if (found := _stashed.pop(id(t), None)) is not None:
+            _delete(t.sparkSession, found[1])
 
 
 _shipped: set[str] = set()

@@ -117,6 +117,16 @@ def spans(d, n=50):
     return [tuple(r) for r in recompress.repeats(d, n).collect()]
 
 
+def covered(rows, n=50):
+    """Words of every window of n words that occurs before, by brute force."""
+    text = {r[0]: words(r[1]) for r in rows}
+    where = defaultdict(list)
+    for i in sorted(text):
+        for k in range(len(text[i]) - n + 1):
+            where[tuple(text[i][k : k + n])].append((i, k))
+    return text, {(i, p) for v in where.values() for i, k in v[1:] for p in range(k, k + n)}
+
+
 def test_repeats_cover_brute_force(table):
     rng = random.Random(3)
     passages = [prose(rng, n) for n in (50, 55, 60, 80, 200)]
@@ -127,27 +137,59 @@ def test_repeats_cover_brute_force(table):
             parts += [rng.choice(passages), prose(rng, rng.randint(0, 40))]
         rows.append(row(i, " ".join(parts)))
     rows += [row(100, prose(rng, 10) + " la" * 200), row(101, "la " * 90), row(102, " ".join(["one two three four"] * 60))]
-    text = {r[0]: words(r[1]) for r in rows}
-    where = defaultdict(list)
-    for i in sorted(text):
-        for k in range(len(text[i]) - 49):
-            where[tuple(text[i][k : k + 50])].append((i, k))
-    need = {(i, p) for v in where.values() for i, k in v[1:] for p in range(k, k + 50)}
+    rows += [row(103, "la " * 40 + "to " * 30), row(104, "x " + "la " * 30 + "to " * 45 + "y"), row(105, prose(rng, 900)), row(106, rows[7][1])]
+    rows += [row(107, rows[-2][1] + " " + prose(rng, 30)), row(108, prose(rng, 20) + " " + " ".join(rows[-2][1].split()[200:700]))]
+    text, need = covered(rows)
     have = set()
     for i, s, n, j, o in spans(table(rows)):
         assert n >= 50
         assert text[i][s : s + n] == text[j][o : o + n]
         assert (j, o) < (i, s)
         have |= {(i, p) for p in range(s, s + n)}
-    assert have <= need
-    assert len(have) >= 0.98 * len(need)
+    assert have == need
+
+
+@pytest.mark.parametrize(("p", "q"), [(45, 12), (49, 49), (30, 21)])
+def test_other_places_of_an_anchor_hide_nothing(table, p, q):
+    rng = random.Random(p)
+    a, b = prose(rng, p), prose(rng, q)
+    d = [row(k, f"{prose(rng, n)} x{k} {t} y{k} {prose(rng, 30)}") for k, n, t in ((1, 30, a), (2, 20, f"{a} {b}"), (3, 25, f"{a} {b}"))]
+    assert spans(table(d)) == [(3, 26, p + q, 2, 21)]
+
+
+def test_a_long_repeat_is_one_span(table):
+    rng = random.Random(8)
+    a = prose(rng, 6000)
+    d = [row(1, f"{prose(rng, 30)} x {a}"), row(2, f"{a} y {prose(rng, 30)}"), row(3, f"{prose(rng, 5)} z {a} u {prose(rng, 5)}")]
+    got = sorted(spans(table(d)))
+    assert got[0] == (2, 0, 6000, 1, 31)
+    assert {p for i, s, n, *_ in got if i == 3 for p in range(s, s + n)} == set(range(6, 6006))
+
+
+def test_ids_with_several_texts(table):
+    rng = random.Random(9)
+    p, other = prose(rng, 80), prose(rng, 200)
+    d = table([row(1, p), row(2, f"{prose(rng, 10)} {p}"), row(2, other), row(2, other), row(None, p)])
+    assert [(i, s, n) for i, s, n, *_ in spans(d)] == [(2, 10, 80)]
+    got = sorted(recompress.without_repeats(d).collect(), key=lambda r: (r.doc_id or 0, len(r.text or "")))
+    assert [(r.doc_id, len(words(r.text))) for r in got] == [(None, 80), (1, 80), (2, 10), (2, 200), (2, 200)]
+
+
+def test_very_long_text(table):
+    """Over MAX_BYTES, so that it is a slice by itself and is hashed in pieces."""
+    rng = random.Random(10)
+    long = " ".join(rng.choices([f"w{k:06}" for k in range(9000)], k=300_000))
+    d = [row(1, long), row(2, "start " + long[: 8 * 100_000 - 1]), row(3, None)]
+    assert spans(table(d)) == [(2, 1, 100_000, 1, 0)]
+    got = {r.doc_id: r.text for r in recompress.without_repeats(table(d)).collect()}
+    assert got == {1: long, 2: "start ", 3: None}
 
 
 def test_equal_substrings_have_equal_symbols():
     rng = np.random.default_rng(1)
     x = rng.integers(1, 2**63, 60, dtype=np.uint64)
     h = np.concatenate([rng.integers(1, 2**63, 33, dtype=np.uint64), x, rng.integers(1, 2**63, 20, dtype=np.uint64), x])
-    name, row_, start, _ = recompress.anchors(h, np.array([0, len(h)]), 50)
+    name, row_, start, *_ = recompress.anchors(h, np.array([0, len(h)]), 50)
     a = {(s - 33, n) for s, n in zip(start, name, strict=True)} & {(s - 113, n) for s, n in zip(start, name, strict=True)}
     assert len(a) >= 2
 
