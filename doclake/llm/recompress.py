@@ -44,7 +44,7 @@ from .jaccard import by_id
 FREEZE = 6
 ROUNDS = 12
 #: Compressions between two global counts.
-LEVELS = 6
+LEVELS = 12
 LEAST_ANCHOR = 10
 #: Symbols from this size on are anchors by themselves, as a pair of them may be too long for a window.
 ALONE = 16
@@ -348,7 +348,7 @@ def islands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def counted(symbols: DataFrame, name: str) -> DataFrame:
     """Symbols met at two places or more, over the whole table."""
-    return stash(symbols.repartition("name").sortWithinPartitions("name", "doc_id", "place").mapInArrow(shared, f"{SYMBOL}, first boolean"), name, slim=True)
+    return stash(symbols.repartition("name").sortWithinPartitions("name", "doc_id", "place").mapInArrow(shared, f"{SYMBOL}, first boolean"), name)
 
 
 def found(docs: DataFrame, min_words: int) -> DataFrame:
