@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, _BYTE, power, buffers, by_row, col, mix, slices, words
+from .common import U, Words, buffers, by_row, col, mix, slices, words
 
 NAMES = (
     "log_words", "word_length", "upper", "digits", "symbols", "stops", "commas", "not_ascii", "spaces", "line_words", "line_repeats",
@@ -84,12 +84,10 @@ def features(b: pa.RecordBatch) -> np.ndarray:
         cut = np.flatnonzero(data == 10)
         start = np.unique(np.concatenate([off[:-1][off[:-1] < len(data)], cut[cut + 1 < len(data)] + 1])).astype(np.int64)
         end = np.append(start[1:], len(data)) if len(start) else start
-        power, inverse = power(len(data) + 1)
-        s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)])])
         body = end - (data[np.maximum(end - 1, 0)] == 10) if len(start) else end
         full = body > start
         start, body = start[full], body[full]
-        line = mix((s[body] - s[start]) * inverse[start])
+        line = Words(data, start, body, np.zeros(1, np.int64), 0).hashes()
     line_row = np.searchsorted(off, start, "right") - 1
     lines, lines_different, _ = _repeats(line_row, line, rows)
     l1 = np.maximum(lines, 1)

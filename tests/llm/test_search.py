@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import duckdb
@@ -220,13 +221,13 @@ def test_repeats_odd_rows(odd, empty):
 BENCH = "item_id long, text string, doc_id string"
 
 
-def brute(docs, bench, least):
+def brute(docs, bench, least, least_item):
     out = set()
     for i, t in docs:
         w = np.array(words(t), object)
         for j, q in bench:
             v = np.array(words(q), object)
-            if len(v) < spaced.SHORTEST:
+            if len(v) < least_item:
                 continue
             for shift in range(-len(v) + 1, len(w)):
                 lo, hi = max(0, -shift), min(len(v), len(w) - shift)
@@ -236,31 +237,72 @@ def brute(docs, bench, least):
     return out
 
 
-def test_decontamination(spark, table):
+@pytest.mark.parametrize(("sizes", "least_item"), [((3, 5, 8, 12, 15, 25, 40, 60), spaced.LEAST_ITEM), (tuple(range(1, 21)), 1)])
+def test_decontamination(spark, table, sizes, least_item):
     rng = random.Random(6)
-    items = [(k, prose(rng, n)) for k, n in enumerate([3, 5, 8, 12, 15, 25, 40, 60])]
-    docs = [(i, prose(rng, 80)) for i in range(12)]
-    for i in range(60):
-        k = rng.randrange(len(items))
+    items = [(k, " ".join(f"v{rng.randrange(500)}" for _ in range(n))) for k, n in enumerate(sizes)]
+    docs = [(i, " ".join(f"v{rng.randrange(500)}" for _ in range(60))) for i in range(6)]
+    for i in range(70):
+        k = i % len(items)
         w = items[k][1].split()
-        for _ in range(len(w) // 14 if len(w) > 11 else 0):
+        for _ in range(rng.choice([0, 1, 1, 1 + len(w) // 10, 1 + len(w) // 6]) if len(w) > 1 else 0):
             w[rng.randrange(len(w))] = "xx"
-        docs.append((100 + i, " ".join([prose(rng, rng.randint(0, 20)), *w, prose(rng, rng.randint(0, 20))])))
+        lo = rng.choice([0, 0, rng.randrange(len(w))])
+        docs.append((100 + i, " ".join([prose(rng, rng.randint(0, 20)), *w[lo:], prose(rng, rng.randint(0, 20))])))
     d, b = table([row(*x) for x in docs]), spark.createDataFrame([(*x, "c") for x in items], BENCH)
-    got = {(r.doc_id, r.item_id) for r in spaced.hits(d, b).collect()}
-    want = brute(docs, items, spaced.LEAST_MATCHES)
-    assert len(want) > 30
-    assert got <= want
-    assert len(got) >= 0.95 * len(want)
-    kept = {r.doc_id for r in spaced.without_hits(d, b).collect()}
+    got = {(r.doc_id, r.item_id) for r in spaced.hits(d, b, least_item=least_item).collect()}
+    want = brute(docs, items, spaced.LEAST_MATCHES, least_item)
+    assert len(want) > 20
+    assert got == want
+    kept = {r.doc_id for r in spaced.without_hits(d, b, least_item=least_item).collect()}
     assert kept == {i for i, _ in docs} - {i for i, _ in got}
 
 
-def test_one_substitution_is_always_found():
+def test_masks_are_complete():
+    """All patterns up to the twelfth match of a stretch, and those of items of 10 to 12 words: each holds a hit."""
     masks = [[k for k, c in enumerate(m) if c == "1"] for m in spaced.MASKS]
-    for n in range(16, 20):
-        for miss in range(n):
-            assert any(at + m[-1] < n and miss - at not in m for m in masks for at in range(n))
+    todo, patterns = [((True,), 1, 1)], [(True,) * 9, (True,) * 10, (True,) * 11]
+    while todo:
+        p, score, matches = todo.pop()
+        if matches == spaced.LEAST_MATCHES:
+            patterns.append(p)
+            continue
+        todo.append(((*p, True), score + 1, matches + 1))
+        if score > spaced.SUBSTITUTION:
+            todo.append(((*p, False), score - spaced.SUBSTITUTION, matches))
+    for n in (10, 11, 12):
+        patterns += [(True,) * k + (False,) + (True,) * (n - 1 - k) for k in range(3, n - 2)]
+    assert len(patterns) > 700
+    for p in patterns:
+        assert any(all(p[at + k] for k in m) for m in masks for at in range(len(p) - m[-1]))
+
+
+@pytest.mark.parametrize("at", [0, 3, 9])
+def test_ten_words_with_one_replaced(spark, table, at):
+    rng = random.Random(at)
+    item = [f"u{k}" for k in range(10)]
+    w = [*item[:at], "xx", *item[at + 1 :]]
+    b = spark.createDataFrame([(1, " ".join(item), "c")], BENCH)
+    assert [(r.doc_id, r.n_matches) for r in spaced.hits(table([row(5, f"{prose(rng, 9)} {' '.join(w)} {prose(rng, 9)}")]), b).collect()] == [(5, 9)]
+
+
+def test_one_word_repeated_takes_bounded_memory():
+    x = spaced.build(np.array([1]), np.full(2000, 7, np.uint64), np.array([0, 2000]))
+    tracemalloc.start()
+    found = spaced.findings(np.full(20_000, 7, np.uint64), np.array([0, 20_000]), x, spaced.LEAST_MATCHES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {(0, 0): (2000, 0, 0, 2000)}
+    assert peak < 300e6
+
+
+def test_decontamination_of_a_very_long_text(spark, table):
+    rng = random.Random(12)
+    item = " ".join(f"u{k}" for k in range(40))
+    long = " ".join(rng.choices([f"w{k:06}" for k in range(9000)], k=200_000))
+    b = spark.createDataFrame([(1, item, "c")], BENCH)
+    got = spaced.hits(table([row(1, f"{long} {item} {long}"), row(2, long)]), b).collect()
+    assert [(r.doc_id, r.doc_word, r.n_matches) for r in got] == [(1, 200_000, 40)]
 
 
 def test_slices_add_up(spark, table, monkeypatch):
