@@ -11,16 +11,16 @@ batches, and groups that are back at nothing vanish; ``compact`` sums them into
 order.
 
 Null sources and languages are groups of their own; null counts are 0; deltas with another op are refused when they are added up
-(``ValueError`` before anything is written); repeated rows count each; empty batches commit and add nothing; other columns are
-not read.
+(``ValueError`` before anything is written); repeated rows count each, ties don't arise; empty batches (an empty table) commit and add
+nothing; other columns are not read. Texts are counted whole, whatever their length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,12 +50,19 @@ class Rollup:
     def _exists(self, p: str) -> bool:
         return self._fs.exists(self._path(p))
 
-    def _covers(self) -> tuple[str | None, set[str]]:
-        """The newest whole snapshot and the batches in it."""
-        for p in sorted(self._folders("snapshot-"), reverse=True):
+    def _snapshots(self) -> list[tuple[int, str, set[str]]]:
+        """Number of batches, folder and batches of every whole snapshot, the one that stands for most of them last."""
+        out = []
+        for p in self._folders("snapshot-"):
             if self._exists(f"{p}.covers"):
-                return p, {r[0] for r in self.spark.read.text(f"{p}.covers").collect()}
-        return None, set()
+                names = {r[0] for r in self.spark.read.text(f"{p}.covers").collect()}
+                out.append((len(names), p, names))
+        return sorted(out, key=lambda x: x[:2])
+
+    def _covers(self) -> tuple[str | None, set[str]]:
+        """The snapshot that is read and the batches in it. Batches only come, so of two snapshots one holds all that the other does."""
+        found = self._snapshots()
+        return found[-1][1:] if found else (None, set())
 
     def _folders(self, prefix: str) -> list[str]:
         if not self._exists(self.path):
@@ -86,30 +93,41 @@ class Rollup:
         fresh = [p for p in self._folders("batch-") if p.rpartition("/")[2] not in covered and self._exists(f"{p}/_SUCCESS")]
         return [snapshot] * bool(snapshot) + fresh, sorted(covered | {p.rpartition("/")[2] for p in fresh})
 
-    def totals(self) -> DataFrame:
-        paths, _ = self._parts()
+    def _sum(self, paths: list[str]) -> DataFrame:
         rows = self.spark.read.schema(SHAPE).parquet(*paths) if paths else self.spark.createDataFrame([], SHAPE)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        return self._sum(self._parts()[0])
+
     def compact(self) -> None:
-        """Write a snapshot of all committed batches. It counts once its list of them is there; a run that breaks off changes nothing."""
+        """Write a snapshot of all committed batches. It counts once its list of them is there; a run that breaks off changes nothing.
+
+        What is summed is what was listed: a batch that is committed meanwhile stays a batch. Runs at the same time make snapshots of
+        their own names, of which the one with most batches is read.
+        """
         paths, names = self._parts()
         if len(paths) < 2:
             return
-        last = max((int(p.rpartition("-")[2]) for p in self._folders("snapshot-")), default=0)
-        folder = f"{self.path}/snapshot-{last + 1:09d}"
-        self.totals().coalesce(1).write.mode("overwrite").parquet(folder)
+        folder = f"{self.path}/snapshot-{uuid.uuid4().hex}"
+        self._sum(paths).coalesce(1).write.parquet(folder)
         out = self._fs.create(self._path(f"{folder}.list"))
         out.write(bytearray("\n".join(names).encode()))
         out.close()
         self._fs.rename(self._path(f"{folder}.list"), self._path(f"{folder}.covers"))
 
     def vacuum(self) -> None:
-        """Delete what the newest snapshot replaces."""
-        snapshot, covered = self._covers()
-        for p in self._folders("batch-") + self._folders("snapshot-"):
-            name = p.rpartition("/")[2]
-            if name in covered or (snapshot and name.startswith("snapshot-") and p < snapshot):
+        """Delete what the snapshot that is read replaces; not while totals that were asked for before are still being read."""
+        found = self._snapshots()
+        if not found:
+            return
+        _, snapshot, covered = found[-1]
+        for p in self._folders("batch-"):
+            if p.rpartition("/")[2] in covered:
+                self._fs.delete(self._path(p), True)
+        for _, p, names in found:
+            if p != snapshot and names <= covered:
+                self._fs.delete(self._path(f"{p}.covers"), False)
                 self._fs.delete(self._path(p), True)
 
 
@@ -121,12 +139,14 @@ def pattern_tokens(docs: DataFrame, patterns: dict[str, str] | None = None) -> D
 
 
 def bpe_tokens(docs: DataFrame, path: str, version: str) -> DataFrame:
-    """The same rows for a public byte-level vocabulary of ranks (tiktoken's format) at ``path``, which every executor can read."""
+    """The same rows for a public byte-level vocabulary of ranks (tiktoken's format) at ``path``, read by the driver and sent to the executors."""
+    with open(path, "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in sent.value.splitlines())}
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         encoding = tiktoken.Encoding(version, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for b in slices(batches, "text"):
@@ -154,8 +174,4 @@ SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_
 """
 
 
-def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
-__all__ = ["PATTERNS", "Rollup", "bpe_tokens", "deltas", "pattern_tokens", "union"]
+__all__ = ["PATTERNS", "Rollup", "bpe_tokens", "deltas", "pattern_tokens"]

@@ -235,6 +235,40 @@ def test_rollup(spark, tmp_path):
         store.commit("5", delta(("upsert", "a", "en", "v1", 1, None)))
 
 
+def test_compaction_sums_what_it_listed(spark, tmp_path):
+    shape = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long"
+    one = lambda n: spark.createDataFrame([("insert", "a", "en", "v1", n, None)], shape)
+    other = rollup.Rollup(spark, f"file://{tmp_path}/r")
+
+    class Late(rollup.Rollup):
+        def _sum(self, paths):
+            other.commit("late", one(100))  # between listing and summing
+            return super()._sum(paths)
+
+    store = Late(spark, f"file://{tmp_path}/r")
+    other.commit("1", one(10))
+    other.commit("2", one(20))
+    store.compact()
+    assert [(r.n_docs, r.n_tokens) for r in other.totals().collect()] == [(3, 130)]
+    assert not other.commit("late", one(100))
+
+
+def test_a_smaller_snapshot_that_comes_late_is_not_read(spark, tmp_path):
+    shape = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long"
+    one = lambda n: spark.createDataFrame([("insert", "a", "en", "v1", n, None)], shape)
+    store, slow = rollup.Rollup(spark, f"file://{tmp_path}/r"), rollup.Rollup(spark, f"file://{tmp_path}/r")
+    store.commit("1", one(10))
+    store.commit("2", one(20))
+    listed = slow._parts()
+    slow._parts = lambda: listed
+    store.commit("3", one(1000))
+    store.compact()
+    slow.compact()
+    assert [(r.n_docs, r.n_tokens) for r in store.totals().collect()] == [(3, 1030)]
+    store.vacuum()
+    assert [(r.n_docs, r.n_tokens) for r in store.totals().collect()] == [(3, 1030)]
+
+
 def test_broken_batch_is_written_anew(spark, tmp_path):
     store = rollup.Rollup(spark, f"file://{tmp_path}/r")
     d = spark.createDataFrame([("insert", "a", "en", "v1", 3, None)], "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
