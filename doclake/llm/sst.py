@@ -2,7 +2,8 @@
 
 The pages of a host are merged into one tree: an element node has *style* nodes, each a sequence of children met under it, whose
 entries are element nodes again. A node's key hashes its whole path (host, styles, positions, tag with class and id), so pages
-build the same keys apart, and merging is counting. With m pages through an element and p_i of them in style i:
+build the same keys apart, and merging is counting. Numbers in classes are all one, and ids with a number in them aren't read, as they
+name one page's or one entry's element. With m pages through an element and p_i of them in style i:
 
 * presentation importance -sum(p_i log_m p_i), and 1 where m = 1;
 * content importance of a text or image leaf 1 - mean over its different contents of log_m(pages with that content);
@@ -20,6 +21,7 @@ Counts cover all pages; a host's nodes met once aren't gathered, as their import
 Result: ``page_id, host, text, n_nodes, n_removed`` for every page; text has one line per block. Scripts, styles, comments and the
 head are not content. Null or empty html gives an empty text; a page with no host is a site by itself; null ids and repeated rows
 are kept, each counting as a page; broken markup is read leniently; an empty table gives an empty result; other columns are not read.
+Pages of any length are read whole. Ties: of two gaps as wide, the one between more recurring branches counts.
 """
 
 from __future__ import annotations
@@ -48,7 +50,8 @@ INLINE = frozenset("a abbr b bdi bdo cite code em font i kbd mark q s small span
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {t: {"p"} for t in "div ul ol dl table section article nav header footer aside main form h1 h2 h3 h4 h5 h6 pre blockquote hr".split()}
 LIMITS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"div", "td", "li", "article", "section", "body", "blockquote"}}
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_NAME = re.compile(r"(?i)\b(class|id|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NUMBER = re.compile(r"\d+")
 
 
 @dataclass(slots=True)
@@ -124,12 +127,19 @@ def parse(source: str) -> Node:
                     break
         label, content = tag, ""
         if rest and not rest.isspace():
-            for a in _NAME.finditer(rest):
+            seen = set()
+            for a in _ATTRIBUTE.finditer(rest):
+                name = a.group(1).lower()
+                if name not in ("class", "id", "src") or name in seen:
+                    continue
+                seen.add(name)  # of several the first counts
                 value = a.group(2) or a.group(3) or a.group(4) or ""
-                if a.group(1).lower() == "src":
+                if name == "src":
                     content = value
-                else:
-                    label += f" {a.group(1).lower()}={value.strip()}"
+                elif name == "class":
+                    label += f" class={_NUMBER.sub('0', value.strip())}"
+                elif not _NUMBER.search(value):
+                    label += f" id={value.strip()}"
         node = Node(tag, label, text=content if tag == "img" else "")
         if not hidden:
             stack[-1].children.append(node)

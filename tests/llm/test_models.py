@@ -375,6 +375,132 @@ def test_rotating_boilerplate(spark):
         assert all(all(x in got[p[0]] for x in ("Buy", "Company", "To ")) for p in pages)
 
 
+class Brute:
+    """The docstring's tree of one host, built of the pages' own nodes, without keys or counts by them."""
+
+    def __init__(self, pages):
+        self.gone = set()  # ids of page nodes to leave out
+        self.pages = len(pages)
+        roots = [sst.parse(h) for h in pages]
+        self.root = self.element(roots)
+        self.drop_quiet(self.root)
+        self.drop_recurring(self.root)
+        self.texts = [self.text(r) for r in roots]
+
+    def content(self, x):
+        return x.text if not x.tag or x.tag == "img" else (x.label, tuple(self.content(c) if c.tag and c.tag != "img" else (c.label, c.text) for c in x.children))
+
+    def element(self, met):
+        m, leaf = len(met), not met[0].tag or met[0].tag == "img"
+        e = {"met": met, "m": m, "leaf": leaf, "styles": []}
+        kinds = Counter(self.content(x) for x in met)
+        e["repeat"] = sum(math.log(n) for n in kinds.values()) / math.log(m) / len(kinds) if m > 1 else 0.0
+        e["again"] = sum(n for n in kinds.values() if n > 1) / m
+        if leaf:
+            e["value"] = 1 - e["repeat"]
+            e["quiet"] = m > 1 and e["value"] < sst.THRESHOLD
+            return e
+        groups = {}
+        for x in met:
+            groups.setdefault(tuple(c.label for c in x.children), []).append(x)
+        for g in groups.values():
+            e["styles"].append([self.element([x.children[k] for x in g]) for k in range(len(g[0].children))])
+        sizes = [len(g) for g in groups.values()]
+        if m == 1:
+            e["value"], e["quiet"] = 1.0, False
+            return e
+        own = -sum(n / m * math.log(n / m) / math.log(m) for n in sizes)
+        inner = sum(n / m * (1.0 if n == 1 else sum(c["value"] for c in s) / len(s) if s else 0.0) for n, s in zip(sizes, e["styles"], strict=True))
+        damp = sst.DAMPING ** len(sizes)
+        e["value"] = (1 - damp) * own + damp * inner
+        e["quiet"] = 1 not in sizes and e["value"] < sst.THRESHOLD and all(c["quiet"] for s in e["styles"] for c in s)
+        return e
+
+    def drop(self, e):
+        self.gone |= {id(x) for x in e["met"]}
+
+    def drop_quiet(self, e):
+        if e["quiet"]:
+            self.drop(e)
+            return
+        for s in e["styles"]:
+            for c in s:
+                self.drop_quiet(c)
+
+    def drop_recurring(self, e):
+        sizes = [sum(1 for x in e["met"] if tuple(c.label for c in x.children) == tuple(c["met"][0].label for c in s)) for s in e["styles"]]
+        for n, s in zip(sizes, e["styles"], strict=True):
+            if 2 * n < self.pages or n < 2:
+                continue
+            floor = max(math.log(2) / math.log(n) / max(n - 1, 1), e["repeat"])
+            some = [(max(c["repeat"], floor), c) for c in s if 1 - c["repeat"] >= sst.THRESHOLD]
+            order = [floor, *sorted(r for r, _ in some)]
+            wide, limit = max(((b / a, b) for a, b in itertools.pairwise(order)), default=(0.0, 0.0))
+            for r, c in some:
+                if wide >= sst.GAP and r >= limit and c["again"] >= sst.SHARE:
+                    self.drop(c)
+                else:
+                    self.drop_recurring(c)
+
+    def text(self, root):
+        lines = [[]]
+
+        def go(x):
+            if id(x) in self.gone:
+                return
+            if not x.tag:
+                lines[-1].append(x.text)
+                return
+            if x.tag not in sst.INLINE:
+                lines.append([])
+            for c in x.children:
+                go(c)
+            if x.tag not in sst.INLINE:
+                lines.append([])
+
+        go(root)
+        return "\n".join(t for t in (" ".join(line) for line in lines) if t)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pages_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    hosts = {}
+    for h in range(14):
+        m, bundles = rng.choice([1, 2, 5, 12, 30]), rng.choice([1, 3, 25])
+        layouts = [rng.sample(["nav", "ad", "side", "body", "foot"], rng.randint(2, 5)) for _ in range(rng.choice([1, 1, 2, 4]))]
+        pages = []
+        for _ in range(m):
+            b, out = rng.randrange(bundles), []
+            for part in rng.choice(layouts):
+                if part == "body":
+                    out.append("<article data-id=%d id=post-%d><h1>t%d</h1>%s</article>" % (rng.randrange(999), rng.randrange(999), rng.randrange(40), "".join(f"<p>{rng.choice(['same', 'x' + str(rng.randrange(300))])}</p>" for _ in range(rng.randint(0, 3)))))
+                elif part == "side":
+                    out.append(f"<div class=side><img src=i{rng.randrange(3)}.png><span>s{rng.choice([0, rng.randrange(50)])}</span></div>")
+                else:
+                    out.append(f"<div class={part}><a>{part} {b}</a> <b>{'all' if rng.random() < 0.9 else rng.random()}</b></div>")
+            pages.append("".join(out))
+        hosts[f"h{h}.example"] = pages
+    rows = [page(1000 * h + k, p, host) for h, (host, pages) in enumerate(hosts.items()) for k, p in enumerate(pages)]
+    got = sst.extract(spark.createDataFrame(rows, PAGES)).collect()
+    want = {1000 * h + k: t for h, pages in enumerate(hosts.values()) for k, t in enumerate(Brute(pages).texts)}
+    assert {r.page_id: r.text for r in got} == want
+    assert 20 < sum(r.n_removed > 0 for r in got) < len(got)
+
+
+def test_unique_attributes_hide_no_navigation(spark):
+    html = lambda k: f"<body><div data-id={k} data-src=x{k} id=row-{k} class='menu item-{k}'><a href=/>Home</a></div><p title='class=c{k}'>Story {k} of its own</p></body>"
+    got = sst.extract(spark.createDataFrame([page(k, html(k)) for k in range(12)], PAGES)).collect()
+    assert {r.text for r in got} == {f"Story {k} of its own" for k in range(12)}
+
+
+def test_a_very_long_page(spark):
+    long = "<body><nav>Menu</nav>" + "<p>a few words</p>" * 100_000 + "</body>"
+    got = {r.page_id: r for r in sst.extract(spark.createDataFrame([page(1, long), page(2, "<body><nav>Menu</nav><p>x</p></body>")], PAGES)).collect()}
+    assert got[1].n_nodes == 3 + 200_000
+    assert len(got[1].text) >= 100_000 * 12
+
+
 def test_importance_by_hand():
     # root with one style for 4 pages: a leaf equal on all, one different on all; and a lone style of a fifth page
     nodes = {1: (0, 0, False, [(10, 4)], 5, 2.0), 2: (10, 1, True, [(77, 4)], 4, 1.0), 3: (10, 1, True, [], 4, 4.0)}
