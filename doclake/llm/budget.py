@@ -4,15 +4,18 @@ Each source has a token budget, its weight's share of ``total``. Documents are c
 is arithmetic on those counts. A source over its budget first takes the same fraction of every length, rounded down, then single
 documents, longest first, until what is left is near ``WINDOW``. A bounded knapsack over the counts not yet taken (dynamic programming
 on a bit set, counts split in powers of two) fills what is left exactly or, where no set of documents does, as far as can be;
-while that leaves a gap, the window is doubled by giving documents back, up to the whole source. Within a source and length the
-documents of least seeded hash are selected, ties by id.
+while that leaves a gap, the window is doubled by giving documents back, up to the whole source or ``WIDEST`` tokens, from where on a
+gap is left as it is. Within a source and length the documents of least seeded hash of id and text are selected; ties are rows with
+equal id and text, of which as many are taken as are needed. The greatest hash taken is found by a histogram of hashes, then within
+one bucket of it, so no group is sorted whole and no text moves.
 
 Tokens are runs of characters other than white space, or ``n_tokens`` of a given column expression. Sources without a weight
 get none if weights are given; by default all sources get equal weights. ``total`` is a token count or, below 1, a share of all
-tokens. A source with less than its budget gives all it has. Null sources are a source named ''; documents without tokens, null or
-empty, are never selected; repeated rows are separate documents; an empty table gives an empty result. Result:
-``doc_id, source, n_tokens``, and other columns of the table if asked for. Columns of the table named like the operator's own
-working columns are not disturbed.
+tokens. A source with less than its budget gives all it has. Null sources share a budget with a source named ''; documents without
+tokens, null or empty, are never selected; repeated rows are separate documents; very long texts are counted whole; an empty table
+gives an empty result. Result: ``doc_id, source, n_tokens``, or the columns that are asked for, as they are, and ``n_tokens``, with an
+underscore where the table has a column of that name. Columns of the table named like the operator's own working columns are not
+disturbed.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import col, longs, stash
 
-WINDOW = 1 << 15
+WINDOW, WIDEST = 1 << 15, 1 << 22
+#: Leading bits of a hash by which documents of a source and length are counted.
+BUCKET_BITS = 12
 SEED = 17
 #: Rows of (source, length, documents to take) that a join may broadcast.
 BROADCAST_ROWS = 500_000
@@ -76,7 +81,7 @@ def take(length: np.ndarray, count: np.ndarray, budget: int, window: int = WINDO
     while True:
         add = knapsack(length, count - out, left)
         gap = left - int((length * add).sum())
-        if gap == 0 or not out.any():
+        if gap == 0 or not out.any() or left >= WIDEST:
             break
         more = max(2 * left, window)
         for k in range(len(length) - 1, -1, -1):  # short documents first: they fit best
@@ -89,15 +94,22 @@ def take(length: np.ndarray, count: np.ndarray, budget: int, window: int = WINDO
 
 
 def fit(docs: DataFrame, weights: dict[str, float] | None = None, total: float = 0.5, n_tokens: Column | None = None, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
-    """Selected documents; ``keep`` names further columns of ``docs`` to return."""
-    keep = [c for c in keep or [] if c not in ("doc_id", "source", "n_tokens")]
+    """Selected documents; ``keep`` names columns of ``docs`` to return as they are, in place of ``doc_id`` and ``source``."""
     tokens = n_tokens if n_tokens is not None else F.regexp_count(F.col("text").cast("string"), F.lit(r"\S+"))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.coalesce(tokens.cast("long"), F.lit(0)).alias("n_tokens"), F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("_row"),
-    ).where("n_tokens > 0")
-    counts = stash(rows.groupBy("source", "n_tokens").count(), "lengths", slim=True)
-    by = counts.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("count")).alias("has"))
+    own = [  # a decision rests on these alone, so that rows needn't move
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(tokens.cast("long"), F.lit(0)).alias("n"),
+        F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(seed)).alias("h"),
+    ]
+    if keep is None:
+        row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
+        rows = stash(docs.select(row.alias("row"), F.struct(*own).alias("own")).where("own.n > 0"), "lengths")
+    else:
+        rows = docs.select(F.struct(*keep).alias("row"), F.struct(*own).alias("own")).where("own.n > 0")
+    # the histogram of hashes gives the counts too; its last BUCKET_BITS make no group larger than 2 ** BUCKET_BITS rows
+    bucket = F.shiftrightunsigned("own.h", 64 - BUCKET_BITS)
+    hist = stash(rows.groupBy(F.col("own.source").alias("source"), F.col("own.n").alias("n"), bucket.alias("bucket")).count(), "hashes", slim=True)
+    counts = hist.groupBy("source", "n").agg(F.sum("count").alias("count"))
+    by = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("count")).alias("has"))
     if weights is None:
         share = F.lit(1.0)
     else:
@@ -109,15 +121,36 @@ def fit(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
     by = by.crossJoin(F.broadcast(sums)).select("source", budget.alias("budget"))  # sums is one row
 
     def solve(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).sort_by("n_tokens").combine_chunks().to_batches()
+        t = pa.Table.from_batches(list(batches)).sort_by("n").combine_chunks().to_batches()
         for b in t:
-            n = take(longs(b, "n_tokens"), longs(b, "count"), int(longs(b, "budget")[0]))
+            n = take(longs(b, "n"), longs(b, "count"), int(longs(b, "budget")[0]))
             some = n > 0
-            yield pa.record_batch([col(b, "source").filter(pa.array(some)), col(b, "n_tokens").filter(pa.array(some)), pa.array(n[some])], ["source", "n_tokens", "take"])
+            yield pa.record_batch([col(b, "source").filter(pa.array(some)), col(b, "n").filter(pa.array(some)), pa.array(n[some])], ["source", "n", "take"])
 
-    plan = stash(counts.join(by, "source").select("source", "n_tokens", "count", "budget").groupBy("source").applyInArrow(solve, "source string, n_tokens long, take long"), "takes", slim=True)
-    small = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    chosen = rows.join(F.broadcast(plan) if small else plan, ["source", "n_tokens"]).withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
-    rank = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy("_h", "doc_id"))
-    chosen = chosen.withColumn("_n", rank).where("_n <= take")
-    return chosen.select("doc_id", "source", "n_tokens", *[F.col("_row").getField(c).alias(c) for c in keep])
+    plan = stash(counts.join(by, "source").select("source", "n", "count", "budget").groupBy("source").applyInArrow(solve, "source string, n long, take long"), "takes", slim=True)
+    # the bucket in which a group's last document lies, and how many of that bucket are taken
+    order = Window.partitionBy("source", "n").orderBy("bucket")
+    upto = hist.join(plan, ["source", "n"]).withColumn("upto", F.sum("count").over(order))
+    last = stash(upto.where("upto >= take and upto - count < take").select("source", "n", "bucket", F.expr("take - upto + count").alias("rest"), (F.col("upto") == F.col("take")).alias("whole")), "buckets", slim=True)
+    small = last.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sent = F.broadcast if small else lambda df: df
+    part = last.where("not whole").select("source", "n", "bucket", "rest")
+    inside = rows.select("own.source", "own.n", "own.h").withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS)).join(sent(part), ["source", "n", "bucket"])
+    ties = inside.groupBy("source", "n", "h", "rest").count()
+    ties = ties.withColumn("upto", F.sum("count").over(Window.partitionBy("source", "n").orderBy("h"))).where("upto >= rest and upto - count < rest")
+    cut = stash(ties.select("source", "n", "h", F.expr("rest - upto + count").alias("equal"), (F.col("upto") > F.col("rest")).alias("tied")), "cuts", slim=True)
+    # the greatest hash that is taken: that of the last document, or the bucket's end
+    end = F.expr(f"shiftleft(bucket + 1, {64 - BUCKET_BITS}) - 1L")
+    cut = last.join(cut, ["source", "n"], "left").select("source", "n", F.coalesce("h", end).alias("cut"), F.coalesce("equal", F.lit(0)).alias("equal"), F.coalesce("tied", F.lit(False)).alias("tied"))
+    cut = stash(cut, "limits", slim=True)
+    least = F.lit(-(2**63))  # hashes in order as unsigned numbers
+    joined = rows.join(sent(cut), [F.col("own.source") == cut["source"], F.col("own.n") == cut["n"]])
+    before, at = F.col("own.h").bitwiseXOR(least) < F.col("cut").bitwiseXOR(least), F.col("own.h") == F.col("cut")
+    chosen = joined.where(before | (at & ~F.col("tied"))).select("row", "own.n")
+    if not cut.where("tied").isEmpty():  # rows that are equal in id and text: any of them will do
+        rank = F.row_number().over(Window.partitionBy("own.source", "own.n").orderBy("row"))
+        chosen = chosen.unionByName(joined.where(at & F.col("tied")).withColumn("_rank", rank).where("_rank <= equal").select("row", "own.n"))
+    name = "n_tokens"
+    while name in (keep or ()):
+        name += "_"
+    return chosen.select(*[F.col("row").getField(c).alias(c) for c in (keep if keep is not None else ["doc_id", "source"])], F.col("n").alias(name))

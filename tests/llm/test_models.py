@@ -202,7 +202,36 @@ def test_mixing_odd_rows(odd, empty):
     assert sorted(r.doc_id or 0 for r in got) == [0, 3, 4, 5, 5, 6, 7, 8, 9]
     assert budget.fit(odd, {}, 100).count() == 0
     assert budget.fit(empty).count() == 0
-    assert set(budget.fit(odd, keep=odd.columns).columns) == {*odd.columns, "n_tokens"}
+    assert budget.fit(odd, keep=odd.columns).columns == [*odd.columns, "n_tokens"]
+    own = odd.withColumn("n_tokens", F.lit("mine")).withColumn("n", F.lit(1))
+    got = budget.fit(own, total=10**9, keep=own.columns).collect()
+    assert {(r.n_tokens, r.n) for r in got} == {("mine", 1)}
+    assert {r.doc_id: (r.source, r.n_tokens_) for r in got}[8] == (None, 2)
+
+
+def test_mixing_takes_least_hashes(table, monkeypatch):
+    """Against a plain ranking, with buckets of many, few and no rows, nulls, and rows repeated more often than they are taken."""
+    rng = random.Random(4)
+    rows = [row(i, " ".join(f"a{rng.randrange(9**9)}" for _ in range(rng.choice([1, 2, 2, 3]))), "en", rng.choice(["x", "y", None])) for i in range(300)]
+    rows += [row(None, "q r", "en", "x") for _ in range(40)] + [row(7, "twice", "en", "y") for _ in range(30)]
+    d = table(rows)
+    for bits in (12, 2):
+        monkeypatch.setattr(budget, "BUCKET_BITS", bits)
+        for total in (150, 333, 0.3, 0.99):
+            got = budget.fit(d, total=total, keep=["doc_id", "source", "text"]).collect()
+            h = {(r.doc_id, r.text): r.h % 2**64 for r in d.select("doc_id", "text", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(budget.SEED)).alias("h")).collect()}
+            left = Counter((r[0], r[1], r[3]) for r in rows) - Counter((r.doc_id, r.text, r.source) for r in got)
+            assert sum(left.values()) == len(rows) - len(got)
+            most, least = {}, {}
+            for r in got:
+                k = (r.source or "", r.n_tokens)
+                most[k] = max(most.get(k, 0), h[r.doc_id, r.text])
+            for i, t, s in left:
+                k = (s or "", len(t.split()))
+                least[k] = min(least.get(k, 2**64), h[i, t])
+            assert all(v <= least.get(k, 2**64) for k, v in most.items())
+            whole = sum(len(r[1].split()) for r in rows)
+            assert sum(r.n_tokens for r in got) <= (total if total > 1 else total * whole)
 
 
 # Rollups
