@@ -140,7 +140,7 @@ def fit(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
     ties = ties.withColumn("upto", F.sum("count").over(Window.partitionBy("source", "n").orderBy("h"))).where("upto >= rest and upto - count < rest")
     cut = stash(ties.select("source", "n", "h", F.expr("rest - upto + count").alias("equal"), (F.col("upto") > F.col("rest")).alias("tied")), "cuts", slim=True)
     # the greatest hash that is taken: that of the last document, or the bucket's end
-    end = F.expr(f"shiftleft(bucket + 1, {64 - BUCKET_BITS}) - 1L")
+    end = F.shiftleft("bucket", 64 - BUCKET_BITS).bitwiseOR(F.lit((1 << (64 - BUCKET_BITS)) - 1))
     cut = last.join(cut, ["source", "n"], "left").select("source", "n", F.coalesce("h", end).alias("cut"), F.coalesce("equal", F.lit(0)).alias("equal"), F.coalesce("tied", F.lit(False)).alias("tied"))
     cut = stash(cut, "limits", slim=True)
     least = F.lit(-(2**63))  # hashes in order as unsigned numbers
