@@ -1,4 +1,4 @@
-"""python -m doclake FOLDER... [-f FORMAT] [-o FOLDER] [--no-keywords] [--report FOLDER]"""
+"""python -m doclake FOLDER... [-f FORMAT] [-o FOLDER] [--no-keywords] [--pdf-mode MODE] [--report FOLDER]"""
 
 from __future__ import annotations
 
@@ -10,7 +10,9 @@ from pyspark.sql import SparkSession
 
 from .operators import reports
 from .operators.formats import FORMATS
-from .plans.process import process, records_of, write_outputs
+from .functions.planning import DEFAULT_MODE, MODES
+from .plans.process import process, records_of, write_files
+from .sources.model import Options
 from .sources.suites import resolve
 
 
@@ -21,12 +23,13 @@ def main() -> int:
     p.add_argument("-o", "--output")
     p.add_argument("--report")
     p.add_argument("--no-keywords", action="store_const", const=True)
+    p.add_argument("--pdf-mode", default=DEFAULT_MODE, choices=MODES)
     a = p.parse_args()
     suites = resolve(a.folders)
     if not suites:
         p.error("no such folder")
     spark = SparkSession.builder.appName("doclake").getOrCreate()
-    results = process(spark, suites, a.format, not a.no_keywords)
+    results = process(spark, suites, a.format, not a.no_keywords, options=Options(pdf_mode=a.pdf_mode))
     if a.report:
         records = records_of(results, spark.createDataFrame([], "suite string, filename string, expected_success boolean"))
         found = reports.gather(records)
@@ -35,11 +38,16 @@ def main() -> int:
         Path(a.report, "summary.html").write_text(reports.html(found), encoding="utf-8")
         reports.write_json(records, a.report)
         reports.write_csv(records, a.report)
-    if a.output:
-        write_outputs(results, a.output, a.format)
-    else:
-        for r in results.select("file_name", "success", "error", "formatted").toLocalIterator():
-            print(r.formatted if r.success else f"[错误] {r.file_name}: {r.error}")
+    rows = write_files(results, a.output, a.format) if a.output else ((r, "") for r in results.orderBy("suite_no", "path").toLocalIterator())
+    for r, to in rows:
+        if not r.success:
+            print(f"[错误] {r.file_name}: {r.error}")
+            continue
+        print(f"✓ {r.file_name} → {to}" if to else f"{r.formatted}\n\n处理耗时: {r.processing_ms:.1f}ms")
+        if not a.no_keywords and r.keywords:
+            print("关键词: " + ", ".join(f"{k.term}({k['count']})" for k in r.keywords[:5]))
+        if not a.no_keywords and r.summary:
+            print(f"摘要: {r.summary[:100]}...")
     return 0
 
 

@@ -63,6 +63,22 @@ def pdf_plan(mode: Column, pages: Column, size_mb: Column, plumber: Column, mupd
     }
 
 
+def pdf_plan_of(mode: str, pages: int, size_mb: float, plumber: bool, mupdf: bool, no_tables: bool = False) -> dict[str, object]:
+    """``pdf_plan`` for one document, where a parser needs it; a test holds the two against each other."""
+    large, huge = pages >= 32 or size_mb >= 14, pages >= 90 or size_mb >= 40
+    engine = "pymupdf" if mupdf and (mode == "fast" or large or huge) else "pdfplumber" if plumber else "pymupdf" if mupdf else "ocr"
+    off = (mode == "fast" and plumber) or (large and mode == "balanced") or (huge and mode != "accurate") or (no_tables and mode != "accurate")
+    cap = 0 if off or (large and mode == "fast") else (24 if plumber else 0) if large and mode == "accurate" else None
+    tables = plumber and not off
+    label = ("大文件优化 / " if large else "") + LABELS[mode]
+    sizes = LARGE[mode] if large and mode in LARGE else BASE[mode]
+    shown = "已关闭（大文件优化）" if not tables else f"前 {cap} 页尝试提取表格" if cap else "全页尝试提取表格"
+    return {
+        "is_large": large, "is_huge": huge, "engine": engine, "extract_tables": tables, "table_page_cap": cap, "runtime_label": label + "（超大文档）" * huge,
+        **dict(zip(("min_signal", "target_edge", "max_edge", "score_break", "variant_break"), sizes, strict=True)), "fast_ocr": large or mode == "fast", "table_label": shown,
+    }
+
+
 def table_page(extract: Column, cap: Column, page_index: Column) -> Column:
     return extract & F.coalesce(page_index < cap, F.lit(True))
 

@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x1c-\x1f]"
+#: Unicode's white space and the four separators that Python counts too.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-CJK_WIDE, CJK = r"[一-鿿]", r"[一-龥]"
+CJK = r"[一-龥]"
 #: Characters that no keyword may hold.
 STOPS = "的了是在和有与一这个为中对上以到其都也被从及等将但不已就很再次并该些那之所因由于如果只还另外除"
 FIELD_WORDS = ("HYPERLINK", "PAGEREF", "MERGEFORMAT", "TOC", "EMBED", r"Visio\.Drawing\.\d+", r"Toc\d+", "FORMTEXT", "MACROBUTTON")
 
 
 def strip(t: Column) -> Column:
-    return F.regexp_replace(t, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(t, F.lit(_BLANKS))
 
 
 def rstrip(t: Column) -> Column:
-    return F.regexp_replace(t, rf"(?U){_SPACE}+$", "")
+    return F.rtrim(t, F.lit(_BLANKS))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used: array functions aren't part of generated code, which would see to that."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def lines(t: Column) -> Column:
     """All lines; no empty one after a final line end, none of an empty text."""
-    parts = F.split(t, _LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bind(F.split(t, _LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def count_of(t: Column, pattern: str) -> Column:
     return F.regexp_count(t, F.lit(pattern)).cast("long")
 
 
+def chars_of(t: Column, kinds: str) -> Column:
+    """Characters of a class; what lies between them is taken out a run at a time."""
+    return F.length(F.regexp_replace(t, f"[^{kinds}]+", "")).cast("long")
+
+
 def words(t: Column) -> Column:
     return count_of(t, r"(?U)[^\s\x1c-\x1f]+")
 
@@ -47,7 +59,7 @@ def normalize(t: Column) -> Column:
 
 
 def signal(t: Column) -> Column:
-    return count_of(t, r"[一-鿿A-Za-z0-9]")
+    return chars_of(t, "一-鿿A-Za-z0-9")
 
 
 def meaningful(normal: Column, min_signal: Column | int) -> Column:
@@ -60,7 +72,7 @@ def ocr_score(normal: Column) -> Column:
     """Of a normalized text; null where it is empty, which ranks below all."""
     filled = size(F.filter(lines(normal), lambda x: strip(x) != ""))
     score = (
-        count_of(normal, CJK_WIDE) * 2.0 + count_of(normal, "[A-Za-z]") + count_of(normal, r"\p{Nd}") * 0.8 + filled * 3.0
+        chars_of(normal, "一-鿿") * 2.0 + chars_of(normal, "A-Za-z") + chars_of(normal, r"\p{Nd}") * 0.8 + filled * 3.0
         - count_of(normal, "�") * 15.0 - count_of(normal, r"[_=~\-]{4,}") * 10.0
     )
     return F.when(normal != "", score)
@@ -80,7 +92,7 @@ def good_line(line: Column) -> Column:
     """Of a stripped line: varied and textual enough."""
     n = F.length(line)
     kinds = F.size(F.array_distinct(F.split(line, "")))
-    ratio = (count_of(line, CJK_WIDE) + count_of(line, "[a-zA-Z]") + count_of(line, r"\p{Nd}")) / n
+    ratio = chars_of(line, r"一-鿿a-zA-Z\p{Nd}") / n
     dull = (kinds < n * 0.25) & (n > 10)
     return (n > 0) & ~dull & ((ratio > 0.5) | ((n > 10) & (ratio > 0.35)))
 

@@ -30,7 +30,7 @@ def evaluate(rules: DataFrame, results: DataFrame) -> DataFrame:
     r = r.withColumn("rule_passed", F.col("success_match") & F.col("min_char_pass") & F.col("contains_pass") & F.col("excludes_pass"))
     return r.select(
         "path", "expected_success", "actual_success", "success_match", "min_char_count", "actual_char_count", "min_char_pass", "must_contain", "must_contain_hits",
-        "contains_pass", "must_not_contain", "must_not_contain_hits", "excludes_pass", "processing_ms", "error", "rule_passed",
+        "contains_pass", "must_not_contain", "must_not_contain_hits", "excludes_pass", "processing_ms", "error", "rule_passed", *[c for c in ("notes",) if c in rules.columns],
     )
 
 

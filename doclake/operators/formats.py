@@ -1,4 +1,4 @@
-"""Results rendered as text, JSON, Markdown or CSV. Results have file_name, file_type, text, tables, metadata, processing_ms."""
+"""Results rendered as text, JSON, Markdown or CSV. Results have path, file_name, file_type, text, tables, metadata, stats, processing_ms, success, error."""
 
 from __future__ import annotations
 
@@ -30,7 +30,8 @@ def to_txt() -> Column:
 
 
 def to_json() -> Column:
-    return F.to_json(F.struct("file_name", "file_type", "text", "tables", "metadata", "processing_ms"))
+    """All of a result, indented: path, file_name, file_type, text, tables, metadata, stats, processing_ms, success, error."""
+    return F.to_json(F.struct("path", "file_name", "file_type", "text", "tables", "metadata", "stats", "processing_ms", "success", "error"), {"pretty": "true", "ignoreNullFields": "false"})
 
 
 def to_markdown() -> Column:

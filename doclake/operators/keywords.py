@@ -30,9 +30,10 @@ def _spread(docs: DataFrame, key: str, text: str) -> DataFrame:
 def keywords(docs: DataFrame, key: str = "doc_id", text: str = "text", top: int = 15) -> DataFrame:
     """(key, rank, term, count): character n-grams met twice or more, most frequent first, then by place.
 
-    The one exchange is of the texts, by key; counting and ranking then need no other.
+    The one exchange is of the texts, by key; counting and ranking then need no other. (An outer explode puts no filter below the
+    exchange, so that whoever spreads the same texts can use it again.)
     """
-    runs = _spread(docs, key, text).select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(rf"({CJK}+)"), 1)).alias("no", "run")).where("length(run) >= 2")
+    runs = _spread(docs, key, text).select(key, F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(rf"({CJK}+)"), 1)).alias("no", "run")).where("length(run) >= 2")
     grams = runs.select(key, F.inline(_grams(F.col("run"), F.col("no")))).where(~F.col("term").rlike(f"[{STOPS}]"))
     counts = grams.groupBy(key, "term").agg(F.count("*").alias("count"), F.min("first").alias("first")).where("count >= 2")
     return _ranked(counts, key, top)
@@ -65,7 +66,7 @@ def summaries(docs: DataFrame, key: str = "doc_id", text: str = "text", most: in
     top = keywords(docs, key, text, 20).where("length(term) = 2")
     weights = top.groupBy(key).agg(F.collect_list(F.struct("term", "count")).alias("weights"))
     sentences = F.filter(F.transform(F.split(F.col(text), "[。！？\n]", -1), strip), lambda s: F.length(s) > 10)
-    both = _spread(docs, key, text).select(key, F.col(text).alias("text"), sentences.alias("sentences")).join(weights, key, "left")
+    both = _spread(docs, key, text).join(weights, key, "left").select(key, F.col(text).alias("text"), sentences.alias("sentences"), "weights")
     scored = F.transform("sentences", lambda s, i: F.struct((-_score(s, F.coalesce("weights", F.array().cast("array<struct<term:string,count:bigint>>")))).alias("k"), i.alias("i"), s.alias("s")))
     best = F.transform(F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, most), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
     return both.select(key, F.when(F.size("sentences") == 0, F.substring("text", 1, 200)).otherwise(F.concat(F.array_join(best, "。"), F.lit("。"))).alias("summary"))

@@ -113,8 +113,3 @@ def share_of_largest(groups: DataFrame, value: str) -> DataFrame:
     """Each group's share of the largest one's value, from one row that every task gets."""
     most = groups.agg(F.coalesce(F.max(value), F.lit(1)).alias("most"))
     return groups.crossJoin(F.broadcast(most))
-
-
-def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key: the first in order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

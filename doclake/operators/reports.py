@@ -3,16 +3,56 @@ only the unexpected cases reach the driver whole, as report.md lists all of them
 
 from __future__ import annotations
 
+import json
+from datetime import datetime
 from html import escape
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import records as rec
+from .evaluation import summarize
 
 
 def write_json(records: DataFrame, folder: str) -> None:
-    records.write.mode("overwrite").json(f"{folder}/results.json")
+    """results.json: lines of records and one of their summary, each in a folder of its own, as the tasks write them."""
+    records.write.mode("overwrite").json(f"{folder}/results.json/records")
+    rec.batch_summary(records).write.mode("overwrite").json(f"{folder}/results.json/summary")
+
+
+def read_json(spark: SparkSession, folder: str, records_shape: StructType | None = None) -> tuple[dict[str, object], DataFrame, DataFrame, DataFrame]:
+    """A report read back: its summary, all records, the first 20 failed and the first 20 unexpected cases."""
+    reader = spark.read.schema(records_shape) if records_shape else spark.read
+    records = reader.json(f"{folder}/results.json/records")
+    summary = spark.read.json(f"{folder}/results.json/summary").first()
+    return summary.asDict() if summary else {}, records, rec.failed_cases(records, 20), rec.unexpected_cases(records, 20)
+
+
+def write_evaluation(items: DataFrame, folder: str, name: str = "评价集", description: str = "--") -> dict[str, object]:
+    """evaluation.json and evaluation.md of held rules (``evaluation.evaluate``); a manifest's rules are few, so the driver writes both."""
+    summary = {"name": name, "generated_at": datetime.now().isoformat(timespec="seconds")} | summarize(items).first().asDict()
+    rows = [r.asDict(recursive=True) for r in items.orderBy("path").collect()]
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    payload = {"manifest": {"name": name, "description": description}, "summary": summary, "items": rows}
+    Path(folder, "evaluation.json").write_text(json.dumps(payload, ensure_ascii=False, indent=2), encoding="utf-8")
+    facts = {
+        "生成时间": summary["generated_at"], "描述": description, "总样本": summary["total"], "通过": summary["passed"], "未通过": summary["failed"], "通过率": f"{summary['pass_rate_pct']}%",
+        "成功状态匹配": f"{summary['success_match_count']}/{summary['total']}", "关键词包含规则": f"{summary['contains_passed']}/{summary['contains_checked']}",
+        "最小字符规则": f"{summary['min_char_passed']}/{summary['min_char_checked']}", "平均耗时": f"{summary['avg_processing_ms']} ms",
+    }
+    verdict = lambda passed, held: "--" if not held and not passed else "是" if passed else "否"
+    table = [
+        [r["path"], "通过" if r["rule_passed"] else "未通过", verdict(r["success_match"], True), verdict(r["min_char_pass"], r["min_char_count"] is not None), verdict(r["contains_pass"], r["must_contain"]), r["processing_ms"], r.get("notes") or r.get("error_category") or ""]
+        for r in rows
+    ]
+    parts = [f"# {name}", "\n".join(f"- {k}：{v}" for k, v in facts.items() if k in ("生成时间", "描述")), "## 总览", "\n".join(f"- {k}：{v}" for k, v in facts.items() if k not in ("生成时间", "描述"))]
+    parts += ["## 明细", pipe_table(["文件", "结果", "成功匹配", "字符规则", "包含规则", "耗时(ms)", "备注"], table)]
+    if missed := [f"- `{r['path']}`：{r['error'] or '规则未通过'}" for r in rows if not r["rule_passed"]]:
+        parts += ["## 未通过样本", "\n".join(missed)]
+    Path(folder, "evaluation.md").write_text("\n\n".join(parts) + "\n", encoding="utf-8")
+    return summary
 
 
 def write_csv(records: DataFrame, folder: str) -> None:

@@ -509,7 +509,7 @@ def format_json(spark: S, d: str) -> DataFrame:
 def _results(spark: S, d: str) -> DataFrame:
     t = F.array(tables.clean(F.col("table")))
     name = F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(".xlsx"))
-    return i.cells(spark, d).select("doc_id", name.alias("file_name"), F.lit("xlsx").alias("file_type"), F.lit("body").alias("text"), t.alias("tables"), F.create_map(F.lit("sheets"), F.lit("1")).alias("metadata"), F.lit(0.0).alias("processing_ms"))
+    return i.cells(spark, d).select("doc_id", name.alias("file_name"), F.lit("xlsx").alias("file_type"), F.lit("body").alias("text"), t.alias("tables"), F.create_map(F.lit("sheets"), F.lit("1")).alias("metadata"), F.lit(0.0).alias("processing_ms"), name.alias("path"), F.struct(F.length(F.lit("body")).cast("long").alias("char_count")).alias("stats"), F.lit(True).alias("success"), F.lit("").alias("error"))
 
 
 @query("SELECT l_suppkey, count(*)::BIGINT AS numeric_count, sum(v::DECIMAL(28,6))::DOUBLE AS sum, sum(v::DECIMAL(28,6))::DOUBLE / count(*) AS avg, max(v) AS max, min(v) AS min FROM (SELECT l_suppkey, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM lineitem) GROUP BY 1")
@@ -696,10 +696,3 @@ def install_status(spark: S, d: str) -> DataFrame:
     p = i.parts(spark, d)
     wanted = p.where("site = 0").select("id").unionByName(spark.range(1).select(F.lit("nothing").alias("id")))
     return capability.installed_now(wanted, p.where("site = 4 and ord % 3 <> 0"))
-
-
-def check_constants() -> str:
-    """The profile's JSON, as the SQL spells it."""
-    import json
-
-    return sql_text(json.dumps(_PROFILE, ensure_ascii=False, sort_keys=True))

@@ -30,6 +30,14 @@ class ParseError(ValueError):
     """A document that can't be read; its message becomes the row's error."""
 
 
+@dataclass(frozen=True)
+class Options:
+    """What a caller asks of parsers: the PDF mode, and whether tables of PDF files are switched off."""
+
+    pdf_mode: str = "balanced"
+    no_pdf_tables: bool = False
+
+
 #: Recognises text in an image: (bytes, suffix) -> (text, engine).
 Recognizer = Callable[[bytes, str], tuple[str, str]]
 Parser = Callable[[bytes, str, Recognizer | None], Parsed]

@@ -7,7 +7,8 @@ import json
 from pyspark.sql import functions as F
 
 from doclake.operators import cache, formats, reports
-from doclake.plans.process import evaluate_folder, process, records_of, write_outputs
+from doclake.operators import records as rec
+from doclake.plans.process import evaluate_folder, process, records_of, watched, write_files, write_outputs
 from doclake.sources.suites import resolve
 
 
@@ -36,7 +37,63 @@ def test_process_and_report(spark, tmp_path):
     reports.write_csv(records, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "results.csv")).count() == 3
     write_outputs(results, str(tmp_path / "texts"), "markdown")
-    assert sorted(p.name for p in (tmp_path / "texts").glob("file=*")) == ["file=a_extracted.md", "file=b_extracted.md", "file=c_extracted.md"]
+    assert sorted(p.name for p in (tmp_path / "texts").glob("suite=s/document=*/file=*")) == ["file=a_extracted.md", "file=b_extracted.md", "file=c_extracted.md"]
+
+
+def test_two_suites_over_one_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(5):
+        (tmp_path / "in" / f"f{k}.txt").write_text(f"text {k}")
+    results = process(spark, {"b": str(tmp_path / "in"), "a": str(tmp_path / "in")})
+    rows = results.collect()
+    assert sorted((r.suite, r.file_name) for r in rows) == [(s, f"f{k}.txt") for s in "ab" for k in range(5)]
+    assert all(r.processing_ms > 0 for r in rows)
+    none = spark.createDataFrame([], "suite string, filename string, expected_success boolean")
+    records = records_of(results, none).orderBy("ord").collect()
+    assert [(r.suite, r.filename) for r in records] == [(s, f"f{k}.txt") for s in "ba" for k in range(5)]  # suites as given, then paths
+    assert all(r.processing_ms > 0 for r in records)
+
+
+def test_first_failed_in_input_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(30):
+        (tmp_path / "in" / f"f{k:02}.bin").write_text("x")
+    none = spark.createDataFrame([], "suite string, filename string, expected_success boolean")
+    records = records_of(process(spark, {"s": str(tmp_path / "in")}, analyse=False), none)
+    assert [r.filename for r in rec.failed_cases(records).collect()] == [f"f{k:02}.bin" for k in range(20)]
+
+
+def test_plain_files(spark, tmp_path):
+    make(tmp_path / "in")
+    (tmp_path / "in" / "a.md").write_text("# other")
+    done = list(write_files(process(spark, {"s": str(tmp_path / "in")}, "json"), str(tmp_path / "out"), "json"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.txt_extracted.json", "a_extracted.json", "b_extracted.json"]
+    assert [(r.file_name, bool(to)) for r, to in done] == [("a.md", True), ("a.txt", True), ("b.csv", True), ("c.bin", False)]
+    whole = json.loads((tmp_path / "out" / "b_extracted.json").read_text())
+    assert list(whole) == ["path", "file_name", "file_type", "text", "tables", "metadata", "stats", "processing_ms", "success", "error"]
+    assert whole["tables"] == [[["x", "y"], ["1", "2"]]]
+    assert whole["stats"]["table_count"] == 1
+
+
+def test_report_read_back(spark, tmp_path):
+    make(tmp_path / "in")
+    expectations = spark.createDataFrame([("s", "b.csv", False)], "suite string, filename string, expected_success boolean")
+    records = records_of(process(spark, {"s": str(tmp_path / "in")}, analyse=False), expectations)
+    reports.write_json(records, str(tmp_path / "out"))
+    summary, again, failed, unexpected = reports.read_json(spark, str(tmp_path / "out"))
+    assert (summary["total"], summary["failed"]) == (3, 1)
+    assert again.count() == 3
+    assert [r.filename for r in failed.collect()] == ["c.bin"]
+    assert [r.filename for r in unexpected.collect()] == ["b.csv"]
+
+
+def test_progress(spark):
+    seen = []
+    with watched(spark, lambda pct, text: seen.append((pct, text)), 0.05):
+        spark.range(1000, numPartitions=8).groupBy(F.col("id") % 3).count().collect()
+    assert seen[-1] == (100.0, "done")
+    assert [p for p, _ in seen] == sorted(p for p, _ in seen)
+    assert seen[-2][0] > 50
 
 
 def test_report_lists_all_unexpected_cases(spark, tmp_path):
@@ -55,9 +112,17 @@ def test_evaluation(spark, tmp_path):
     make(tmp_path / "in")
     items = [{"path": "in/a.txt", "expected_success": True, "min_char_count": 5, "must_contain": ["文档"]}, {"path": "in/none.txt", "expected_success": True}, {"path": "in/c.bin", "expected_success": False}]
     (tmp_path / "m.json").write_text(json.dumps({"name": "n", "items": items}))
-    got = {r.path: r for r in evaluate_folder(spark, str(tmp_path / "m.json"), str(tmp_path), {"s": str(tmp_path / "in")}).collect()}
+    held = evaluate_folder(spark, str(tmp_path / "m.json"), str(tmp_path), {"s": str(tmp_path / "in")})
+    got = {r.path: r for r in held.collect()}
     assert {p: r.rule_passed for p, r in got.items()} == {"in/a.txt": True, "in/none.txt": False, "in/c.bin": True}
     assert got["in/none.txt"].error == "文件不存在: in/none.txt"
+    summary = reports.write_evaluation(held, str(tmp_path / "report"), "n")
+    assert (summary["total"], summary["passed"], summary["contains_checked"], summary["min_char_checked"]) == (3, 2, 1, 1)
+    text = (tmp_path / "report" / "evaluation.md").read_text()
+    assert "| in/none.txt | 未通过 | 否 |" in text
+    assert "- `in/none.txt`：文件不存在: in/none.txt" in text
+    whole = json.loads((tmp_path / "report" / "evaluation.json").read_text())
+    assert [x["path"] for x in whole["items"]] == ["in/a.txt", "in/c.bin", "in/none.txt"]
 
 
 def test_cache_round_trip(spark, tmp_path):

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import io
+import json
 import struct
 import zipfile
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from doclake.functions import planning
 from doclake.sources import image, ole, ooxml, pdf, plain, read_documents
-from doclake.sources.model import ParseError
+from doclake.sources.model import Options, ParseError
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -140,6 +143,37 @@ def test_pdf_text(flate):
     assert p.method == "text layer"
 
 
+GRID = b"""0.5 w 100 600 300 60 re S 100 620 m 400 620 l S 100 640 m 400 640 l S 200 600 m 200 660 l S 1 0 0 1 200 0 cm 100 620 m 100 660 l S 1 0 0 1 -200 0 cm
+BT /F1 10 Tf 105 645 Td (Name) Tj 100 0 Td (Size) Tj 100 0 Td (Note) Tj ET
+BT 1 0 0 1 105 625 Tm (first) Tj 1 0 0 1 205 625 Tm [(1) -20 (2)] TJ ET BT 105 605 Td (second) Tj 1 0 0 1 310 605 Tm (wide) Tj ET
+BT 1 0 0 1 100 500 Tm (A line of text that stands below the table) Tj ET"""
+
+
+def test_pdf_tables():
+    p = pdf.parse(pdf_file(GRID), "pdf")
+    assert p.tables == [[["Name", "Size", "Note"], ["first", "12", ""], ["second", "wide", ""]]]  # the last row's right cells are merged
+    assert [x.tables for x in p.pages] == [1]
+    assert (p.metadata["table_pages"], p.metadata["pdf_mode"], p.metadata["table_extraction"], p.metadata["file_size_mb"]) == ("1", "balanced", "全页尝试提取表格", "0.0")
+    fast = pdf.parse(pdf_file(GRID), "pdf", None, Options(pdf_mode="fast"))
+    assert (fast.tables, fast.metadata["table_extraction_enabled"], fast.metadata["pdf_runtime_label"]) == ([], "false", "快速")
+    assert pdf.parse(pdf_file(GRID), "pdf", None, Options(no_pdf_tables=True)).tables == []
+    assert pdf.parse(pdf_file(b"10 10 100 100 re S BT (A frame is not a table at all) Tj ET"), "pdf").tables == []
+
+
+def test_pdf_info():
+    data = pdf_file(b"BT (A long enough line) Tj ET") + b"\n99 0 obj <</Title (T \\(x\\)) /Author <FEFF6587>>> endobj\ntrailer <</Info 99 0 R>>"
+    assert json.loads(pdf.parse(data, "pdf").metadata["info"]) == {"Title": "T (x)", "Author": "文"}
+
+
+def test_plain_plan_equals_columns(spark):
+    cases = [(m, p, float(s), a, b, n) for m in planning.MODES for p in (1, 31, 32, 89, 90) for s in (0, 13.99, 14, 40) for a in (True, False) for b in (True, False) for n in (True, False)]
+    d = spark.createDataFrame(cases, "mode string, pages long, mb double, a boolean, b boolean, n boolean")
+    got = d.select("*", F.struct(*[c.alias(k) for k, c in planning.pdf_plan(*[F.col(c) for c in ("mode", "pages", "mb", "a", "b", "n")]).items()]).alias("plan")).collect()
+    assert len(got) == len(cases)
+    for r in got:
+        assert r.plan.asDict() == planning.pdf_plan_of(r.mode, r.pages, r.mb, r.a, r.b, r.n)
+
+
 def test_pdf_without_text():
     with pytest.raises(ParseError):
         pdf.parse(pdf_file(b"BT ET"), "pdf")
