@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, longs, stash
+from .common import col, forget_since, longs, stash, stashed
 
 WINDOW, WIDEST = 1 << 15, 1 << 22
 #: Leading bits of a hash by which documents of a source and length are counted.
@@ -95,6 +95,7 @@ def take(length: np.ndarray, count: np.ndarray, budget: int, window: int = WINDO
 
 def fit(docs: DataFrame, weights: dict[str, float] | None = None, total: float = 0.5, n_tokens: Column | None = None, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
     """Selected documents; ``keep`` names columns of ``docs`` to return as they are, in place of ``doc_id`` and ``source``."""
+    mark = stashed()
     tokens = n_tokens if n_tokens is not None else F.regexp_count(F.col("text").cast("string"), F.lit(r"\S+"))
     own = [  # a decision rests on these alone, so that rows needn't move
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(tokens.cast("long"), F.lit(0)).alias("n"),
@@ -143,6 +144,7 @@ def fit(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
     end = F.shiftleft("bucket", 64 - BUCKET_BITS).bitwiseOR(F.lit((1 << (64 - BUCKET_BITS)) - 1))
     cut = last.join(cut, ["source", "n"], "left").select("source", "n", F.coalesce("h", end).alias("cut"), F.coalesce("equal", F.lit(0)).alias("equal"), F.coalesce("tied", F.lit(False)).alias("tied"))
     cut = stash(cut, "limits", slim=True)
+    forget_since(mark, cut, rows)
     least = F.lit(-(2**63))  # hashes in order as unsigned numbers
     joined = rows.join(sent(cut), [F.col("own.source") == cut["source"], F.col("own.n") == cut["n"]])
     before, at = F.col("own.h").bitwiseXOR(least) < F.col("cut").bitwiseXOR(least), F.col("own.h") == F.col("cut")

@@ -243,6 +243,16 @@ def stash(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
 _stashed: dict[int, tuple[DataFrame, str]] = {}
 
 
+def stashed() -> set[int]:
+    """Marks the tables that are stashed so far, for ``forget_since``."""
+    return set(_stashed)
+
+
+def forget_since(mark: set[int], *keep: DataFrame) -> None:
+    """Delete what was stashed after a mark, but for tables that are still to be read."""
+    forget(*[t for k, (t, _) in list(_stashed.items()) if k not in mark and not any(t is x for x in keep)])
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete stashed tables that nothing will read again."""
     for t in tables:

@@ -4,7 +4,8 @@ A word's features are its byte n-grams of 2 to 4 (those that touch a word's edge
 buckets, and its membership in each language's lexicon, the most frequent words of the training sample. Feature weights and the
 transition matrix between labels are learned together by the conditional likelihood's gradient (forward-backward, Adagrad) on
 code-switched sequences: stretches of documents in different languages put one after another. The training sample is bounded:
-``SAMPLE_DOCS`` labelled documents by least hash of the id, ``TRAIN_WORDS`` words. All languages of the sample are learned. A label ``und`` is learned from made-up digits and
+``SAMPLE_DOCS`` labelled documents, as many for each language and one at least, by least hash of the id; ``TRAIN_WORDS`` words. All
+languages are learned, rare ones too. A label ``und`` is learned from made-up digits and
 random letters.
 
 Every word of every document is then labelled by its posterior (forward-backward over the whole text, in blocks that are chained
@@ -12,7 +13,8 @@ exactly). Result: ``doc_id, lang`` (label with the largest expected share), ``sh
 labels), ``n_words, n_switches, spans`` (start, end, lang in words) and ``accepted``: false for texts without words, null or empty
 (lang null), and where ``und`` has more than half or the confidence is under ``LEAST_CONFIDENCE``.
 
-Null ids are kept; rows that repeat are each labelled; without labelled rows every word is ``und`` and what has words is accepted,
+Ties go to the first label in alphabetical order, ``und`` last. A very long text is labelled whole, by blocks; it takes memory for each of its
+words. Null ids are kept; rows that repeat are each labelled; without labelled rows every word is ``und`` and what has words is accepted,
 as nothing can be learned; an empty table gives an empty result; other columns are not read.
 """
 
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MAX_BYTES, U, Words, col, mix, slices, words
@@ -214,13 +216,21 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """On at most ``sample_docs`` labelled documents: those of least hash, texts and languages that are not empty."""
+    """On labelled documents of least hash, as many for each language (one at least, ``sample_docs`` over all languages); texts and languages that are not empty."""
     h = F.xxhash64(F.col("doc_id").cast("long"), F.lit(11))
     some = docs.where("lang is not null and cast(lang as string) not in ('', 'und')").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), h.alias("h"))
-    least = [r[0] for r in some.select("h").orderBy("h").limit(sample_docs).collect()]  # numbers only: each task sends at most that many
-    if not least:
+    some = some.where(F.length("text") > 0)
+    langs = [r[0] for r in some.groupBy("lang").count().orderBy("lang").collect()]
+    if not langs:
         return train([])
-    rows = some.where((F.col("h") <= max(least)) & (F.length("text") > 0)).orderBy("h", "lang", "text").limit(sample_docs).collect()
+    each = max(1, sample_docs // len(langs))
+    # numbers first: each task sends ``each`` of a language at most; then the texts
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = some.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= each).groupBy("lang").agg(F.max("h").alias("last"))
+    last = {r.lang: r.last for r in last.collect()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in last.items() for x in kv]), F.col("lang"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))  # rows that share an id share a hash
+    rows = some.where(F.col("h") <= limit).withColumn("rank", rank).where(F.col("rank") <= each).orderBy("h", "lang", "text").collect()
     return train([(r.lang, r.text) for r in rows])
 
 

@@ -7,7 +7,7 @@ with the probability of their generalised Jaccard similarity, sum(min) / sum(max
 entries of two signatures estimates it.
 
 Result: ``doc_id, n_words, signature`` (array<int>, a 32-bit hash of word, t and sample number). Equal bags of words have equal
-signatures whatever the order. Texts without words, null or empty, have an empty signature; null ids and repeated rows are kept;
+signatures whatever the order, and ties within a sample go to the least name. A very long text is weighed whole. Texts without words, null or empty, have an empty signature; null ids and repeated rows are kept;
 an empty table gives an empty result; other columns are not read. ``estimate`` compares two signature columns.
 """
 

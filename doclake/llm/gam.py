@@ -9,7 +9,7 @@ columns at a time.
 Trained on at most ``SAMPLE`` labelled rows of least hash (a bound, not a share), a fifth of them held out to stop the boosting;
 applied to every document. Result: ``doc_id, logit, score, keep`` (score >= 0.5). Null labels and labels other than 0 and 1
 aren't used, of several labels of an id the least is; without both labels every score is 0.5 and all is kept. Null and
-empty texts are scored by their features (0 words); null ids and repeated rows are kept; an empty table gives an empty result;
+empty texts are scored by their features (0 words), very long ones by all their words; ties: the first feature, cut or pair counts; null ids and repeated rows are kept; an empty table gives an empty result;
 other columns are not read.
 """
 

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, U, Words, col, forget, list_of, longs, mix, power, signed, slices, stash, whole_groups, words
+from .common import IS_WORD, U, Words, col, forget_since, list_of, longs, mix, power, signed, slices, stash, stashed, whole_groups, words
 from .jaccard import by_id
 
 FREEZE = 6
@@ -353,6 +353,7 @@ def counted(symbols: DataFrame, name: str) -> DataFrame:
 
 def found(docs: DataFrame, min_words: int) -> DataFrame:
     """Verified spans (doc_id, s, n, other, os, n0, key)."""
+    mark = stashed()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     low = counted(docs.mapInArrow(lambda bs: emit(bs, min_words), SYMBOL), "anchors")
     parts, now, size = [low.select("doc_id", "place", F.lit(False).alias("high"), "first", (F.col("step") == RUN).alias("wide"))], low, -1
@@ -369,7 +370,7 @@ def found(docs: DataFrame, min_words: int) -> DataFrame:
         rows = rows.unionByName(p)
     wanted = rows.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda bs: zones(bs, min_words), "doc_id long, ranges array<long>, spans array<long>")
     wanted = stash(wanted, "zones", slim=True)
-    forget(low, now)
+    forget_since(mark, wanted)
     seen = by_id(docs, wanted, weight="1 + size(ranges) + size(spans)").mapInArrow(lambda bs: windows(bs, min_words), "key long, check int, doc_id long, place long")
     seen = seen.repartition("key").sortWithinPartitions("key", "check", "doc_id", "place").mapInArrow(met_before, "doc_id long, s long, n long, other long, os long, key long")
     return seen.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(islands, "doc_id long, s long, n long, other long, os long, n0 long, key long")
@@ -443,8 +444,10 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     names, own_column = docs.columns, SPANS
     while own_column in names:
         own_column += "_"
+    mark = stashed()
     spans = found(docs, min_words)
     spans = stash(spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "n", "n0", "key")).alias(own_column)), "spans", slim=True)
+    forget_since(mark, spans)
     return by_id(docs, spans, "left", f"1 + size({own_column})").mapInArrow(lambda bs: cut(bs, names, own_column), docs.schema)
 
 
