@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import tracemalloc
 from collections import defaultdict
@@ -111,28 +112,30 @@ def test_rates_are_sound(size, rate):
     assert (1 - 2.0**-j) ** jaccard.need_of(j) <= jaccard.MISS or j == 0
 
 
-def test_digests_keep_similar_pairs():
-    """Sets just at the threshold, from DIGESTED grams on: none of a thousand pairs fails, and chance pairs do."""
+@pytest.mark.parametrize("sizes", [(24, 24), (60, 70), (150, 150), (255, 255), (200, 280), (256, 256), (300, 350), (700, 700), (3000, 3500)])
+def test_digests_keep_similar_pairs(sizes):
+    """Pairs just at the threshold agree as their likeness says and never fail; pairs that share nothing do."""
     rng = np.random.default_rng(0)
     least = int(jaccard.least_equal(0.7)[jaccard.BINS])
     assert 80 < least < 92
+    n, m = sizes
+    both = int(np.ceil(0.7 * (n + m) / 1.7 - 1e-9))
     agree, other = [], []
-    for k in range(250):
-        n = [256, 300, 700, 3000][k % 4]
-        both = int(np.ceil(0.7 * 2 * n / 1.7))
-        x = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64) >> np.uint64(1)
-        a, b, c = (np.sort(v) for v in (x[:n], np.concatenate([x[:both], x[n:]]), rng.integers(0, 2**62, n, dtype=np.uint64)))
+    for _ in range(150):
+        x = rng.integers(0, 2**63, n + m - both, dtype=np.uint64)
         s = jaccard.Sets.__new__(jaccard.Sets)
-        s.key, s.size = np.concatenate([a, b, c]), np.array([n, n, n])
-        s.row, s.start = np.repeat(np.arange(3), n), np.array([0, n, 2 * n])
-        e = jaccard.bags(s)[1].view(np.uint64)
-        same = lambda i, j: 128 - int(np.bitwise_count(e[i] ^ e[j]).sum())
-        agree.append(same(0, 1))
-        other.append(same(0, 2))
+        s.key, s.size = np.concatenate([np.sort(x[:n]), np.sort(np.concatenate([x[:both], x[n:]])), rng.integers(0, 2**62, m, dtype=np.uint64)]), np.array([n, m, m])
+        s.row, s.start = np.repeat(np.arange(3), s.size), np.array([0, n, n + m])
+        e = jaccard.digests(s, 0.7).view(np.uint64)
+        two = n < jaccard.DIGESTED <= m
+        same = lambda j, e=e, two=two: 128 - int(np.bitwise_count(e[0, :2] ^ e[j, 2 * two : 2 * two + 2]).sum())
+        agree.append(same(1))
+        other.append(same(2))
     assert min(agree) >= least
-    assert abs(np.mean(agree) - 0.85 * 128) < 1.5
-    assert np.std(agree) < 5
-    assert max(other) < least
+    want = 0.5 + both / (n + m - both) / 2
+    assert abs(np.mean(agree) / 128 - want) < 0.015
+    assert np.std(agree) < 1.15 * math.sqrt(128 * want * (1 - want)) + 0.3
+    assert np.mean(np.array(other) < least) > 0.99
 
 
 # Repeated substrings
