@@ -61,12 +61,21 @@ def _score(sentence: Column, weights: Column) -> Column:
     return F.aggregate(weights, F.lit(0).cast("long"), lambda s, w: s + w["count"] * _times(sentence, w["term"]))
 
 
-def summaries(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 5) -> DataFrame:
-    """(key, summary): the sentences whose character pairs are keywords most often, in their order."""
-    top = keywords(docs, key, text, 20).where("length(term) = 2")
-    weights = top.groupBy(key).agg(F.collect_list(F.struct("term", "count")).alias("weights"))
+def analysed(docs: DataFrame, key: str = "doc_id", text: str = "text", top: int = 15, most: int = 5) -> DataFrame:
+    """(key, keywords, summary): keywords with their counts, and the sentences whose character pairs are keywords most often, in their order."""
+    best = F.array_sort(F.collect_list(F.struct("rank", "term", "count")))
+    ranked = keywords(docs, key, text, max(top, 20)).groupBy(key).agg(best.alias("top"))
+    none = F.array().cast("array<struct<rank:bigint,term:string,count:bigint>>")
     sentences = F.filter(F.transform(F.split(F.col(text), "[。！？\n]", -1), strip), lambda s: F.length(s) > 10)
-    both = _spread(docs, key, text).join(weights, key, "left").select(key, F.col(text).alias("text"), sentences.alias("sentences"), "weights")
-    scored = F.transform("sentences", lambda s, i: F.struct((-_score(s, F.coalesce("weights", F.array().cast("array<struct<term:string,count:bigint>>")))).alias("k"), i.alias("i"), s.alias("s")))
-    best = F.transform(F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, most), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
-    return both.select(key, F.when(F.size("sentences") == 0, F.substring("text", 1, 200)).otherwise(F.concat(F.array_join(best, "。"), F.lit("。"))).alias("summary"))
+    both = _spread(docs, key, text).join(ranked, key, "left").select(key, F.col(text).alias("text"), sentences.alias("sentences"), F.coalesce("top", none).alias("top"))
+    weights = F.filter("top", lambda w: (w["rank"] <= 20) & (F.length(w["term"]) == 2))
+    scored = F.transform("sentences", lambda s, i: F.struct((-_score(s, weights)).alias("k"), i.alias("i"), s.alias("s")))
+    picked = F.transform(F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, most), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
+    summary = F.when(F.size("sentences") == 0, F.substring("text", 1, 200)).otherwise(F.concat(F.array_join(picked, "。"), F.lit("。")))
+    words = F.transform(F.filter("top", lambda w: w["rank"] <= top), lambda w: F.struct(w["term"].alias("term"), w["count"].alias("count")))
+    return both.select(key, words.alias("keywords"), summary.alias("summary"))
+
+
+def summaries(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 5) -> DataFrame:
+    """(key, summary); see ``analysed``."""
+    return analysed(docs, key, text, most=most).select(key, "summary")

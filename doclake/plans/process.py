@@ -21,10 +21,9 @@ from ..sources.model import Options, Recognizer
 
 def with_analysis(docs: DataFrame, key: str = "path") -> DataFrame:
     """Documents with keywords (array of term and count) and summary; null where there is no text."""
-    texts = docs.where("text <> ''").select(key, "text").dropDuplicates([key])  # a folder of two suites has each path twice
-    ranked = F.array_sort(F.collect_list(F.struct("rank", "term", "count")))
-    words = keywords.keywords(texts, key).groupBy(key).agg(F.transform(ranked, lambda x: F.struct(x["term"].alias("term"), x["count"].alias("count"))).alias("keywords"))
-    return docs.join(words, key, "left").join(keywords.summaries(texts, key), key, "left")
+    docs = docs.withColumn("_doc", F.concat_ws("\n", *[c for c in ("suite", key) if c in docs.columns]))  # a folder of two suites has each path twice
+    texts = docs.where("text <> ''").select("_doc", "text")
+    return docs.join(keywords.analysed(texts, "_doc"), "_doc", "left").drop("_doc")
 
 
 def process(spark: SparkSession, suites: dict[str, str], output: str = "txt", analyse: bool = True, ocr: Recognizer | None = None, options: Options = Options()) -> DataFrame:

@@ -72,7 +72,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return parse_progress(spark.readStream.text(path).withColumnRenamed("value", "line"))
 
 
-def new_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files that land in a folder, each content once."""
+def new_files(spark: SparkSession, path: str, within: str = "30 days") -> DataFrame:
+    """Files that land in a folder, each content once ``within`` a time; contents that were seen longer ago aren't held, so the state is bounded.
+
+    The time is that of reading, by which no file is late, whatever its own date.
+    """
     files = spark.readStream.format("binaryFile").schema(FILES).load(path)
-    return files.withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["sha256"])
+    files = files.withColumn("sha256", F.sha2("content", 256)).withColumn("_seen", F.current_timestamp())
+    return files.withWatermark("_seen", within).dropDuplicatesWithinWatermark(["sha256"]).drop("_seen")
