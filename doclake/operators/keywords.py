@@ -62,7 +62,11 @@ def _score(sentence: Column, weights: Column) -> Column:
 
 
 def analysed(docs: DataFrame, key: str = "doc_id", text: str = "text", top: int = 15, most: int = 5) -> DataFrame:
-    """(key, keywords, summary): keywords with their counts, and the sentences whose character pairs are keywords most often, in their order."""
+    """(key, keywords, summary): keywords with their counts, and the sentences whose character pairs are keywords most often, in their order.
+
+    Documents without a key are left out. The join's other side reads the same exchange of the texts again.
+    """
+    docs = docs.where(F.col(key).isNotNull())  # as the join would on one side only, which then had an exchange of its own
     best = F.array_sort(F.collect_list(F.struct("rank", "term", "count")))
     ranked = keywords(docs, key, text, max(top, 20)).groupBy(key).agg(best.alias("top"))
     none = F.array().cast("array<struct<rank:bigint,term:string,count:bigint>>")
