@@ -346,13 +346,35 @@ def islands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x) for x in (d[at], s[at], whole, o[at], os[at], n[at], key[at])], ["doc_id", "s", "n", "other", "os", "n0", "key"])
 
 
+def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document with as few of its spans as have the same words in them; input sorted by id."""
+    for b in whole_groups(batches, "doc_id"):
+        d, s, n = longs(b, "doc_id"), longs(b, "s"), longs(b, "n")
+        ids, nth = np.unique(d, return_inverse=True)
+        o = np.lexsort((-n, s, nth))
+        at = (nth[o].astype(np.int64) << 33) + s[o]
+        end = at + n[o]
+        further = np.ones(len(o), bool)
+        further[1:] = end[1:] > np.maximum.accumulate(end)[:-1]
+        o, at, end = o[further], at[further], end[further]  # starts and ends both rise
+        reach = np.searchsorted(at, end, side="right") - 1  # the last span that begins within this one or right after it
+        taken, k = [], 0
+        while k < len(o):
+            taken.append(k)
+            k = int(reach[k]) if reach[k] > k else k + 1
+        o = o[taken]
+        spans = pa.StructArray.from_arrays([col(b, c).take(pa.array(o)) for c in ("s", "n", "n0", "key")], ["s", "n", "n0", "key"])
+        of = np.concatenate([[0], np.cumsum(np.bincount(nth[o], minlength=len(ids)))]).astype(np.int32)
+        yield pa.record_batch([pa.array(ids), pa.ListArray.from_arrays(pa.array(of), spans)], ["doc_id", "spans"])
+
+
 def counted(symbols: DataFrame, name: str) -> DataFrame:
     """Symbols met at two places or more, over the whole table."""
     return stash(symbols.repartition("name").sortWithinPartitions("name", "doc_id", "place").mapInArrow(shared, f"{SYMBOL}, first boolean"), name)
 
 
 def found(docs: DataFrame, min_words: int) -> DataFrame:
-    """Verified spans (doc_id, s, n, other, os, n0, key)."""
+    """Verified windows and symbols that were met before (doc_id, s, n, other, os, key), sorted by id within partitions."""
     mark = stashed()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     low = counted(docs.mapInArrow(lambda bs: emit(bs, min_words), SYMBOL), "anchors")
@@ -373,12 +395,13 @@ def found(docs: DataFrame, min_words: int) -> DataFrame:
     forget_since(mark, wanted)
     seen = by_id(docs, wanted, weight="1 + size(ranges) + size(spans)").mapInArrow(lambda bs: windows(bs, min_words), "key long, check int, doc_id long, place long")
     seen = seen.repartition("key").sortWithinPartitions("key", "check", "doc_id", "place").mapInArrow(met_before, "doc_id long, s long, n long, other long, os long, key long")
-    return seen.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(islands, "doc_id long, s long, n long, other long, os long, n0 long, key long")
+    return seen.repartition("doc_id").sortWithinPartitions("doc_id")
 
 
 def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Repeated spans; see the module's docstring."""
-    return found(docs, min_words).select("doc_id", F.col("s").alias("start_word"), F.col("n").alias("n_words"), F.col("other").alias("other_doc_id"), F.col("os").alias("other_start_word"))
+    spans = found(docs, min_words).mapInArrow(islands, "doc_id long, s long, n long, other long, os long, n0 long, key long")
+    return spans.select("doc_id", F.col("s").alias("start_word"), F.col("n").alias("n_words"), F.col("other").alias("other_doc_id"), F.col("os").alias("other_start_word"))
 
 
 def own(w: Words, row: np.ndarray, spans: pa.StructArray) -> np.ndarray:
@@ -445,8 +468,8 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     while own_column in names:
         own_column += "_"
     mark = stashed()
-    spans = found(docs, min_words)
-    spans = stash(spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "n", "n0", "key")).alias(own_column)), "spans", slim=True)
+    spans = found(docs, min_words).mapInArrow(lambda bs: cover(islands(bs)), "doc_id long, spans array<struct<s:long,n:long,n0:long,key:long>>")
+    spans = stash(spans.withColumnRenamed("spans", own_column), "spans", slim=True)
     forget_since(mark, spans)
     return by_id(docs, spans, "left", f"1 + size({own_column})").mapInArrow(lambda bs: cut(bs, names, own_column), docs.schema)
 
