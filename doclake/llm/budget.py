@@ -104,11 +104,13 @@ def fit(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
     if keep is None:
         row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
         rows = stash(docs.select(row.alias("row"), F.struct(*own).alias("own")).where("own.n > 0"), "lengths")
+        numbers = rows
     else:
         rows = docs.select(F.struct(*keep).alias("row"), F.struct(*own).alias("own")).where("own.n > 0")
+        numbers = stash(docs.select(F.struct(*own).alias("own")).where("own.n > 0"), "lengths")
     # the histogram of hashes gives the counts too; its last BUCKET_BITS make no group larger than 2 ** BUCKET_BITS rows
     bucket = F.shiftrightunsigned("own.h", 64 - BUCKET_BITS)
-    hist = stash(rows.groupBy(F.col("own.source").alias("source"), F.col("own.n").alias("n"), bucket.alias("bucket")).count(), "hashes", slim=True)
+    hist = stash(numbers.groupBy(F.col("own.source").alias("source"), F.col("own.n").alias("n"), bucket.alias("bucket")).count(), "hashes", slim=True)
     counts = hist.groupBy("source", "n").agg(F.sum("count").alias("count"))
     by = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("count")).alias("has"))
     if weights is None:
@@ -136,7 +138,7 @@ def fit(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
     small = last.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sent = F.broadcast if small else lambda df: df
     part = last.where("not whole").select("source", "n", "bucket", "rest")
-    inside = rows.select("own.source", "own.n", "own.h").withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS)).join(sent(part), ["source", "n", "bucket"])
+    inside = numbers.select("own.source", "own.n", "own.h").withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS)).join(sent(part), ["source", "n", "bucket"])
     ties = inside.groupBy("source", "n", "h", "rest").count()
     ties = ties.withColumn("upto", F.sum("count").over(Window.partitionBy("source", "n").orderBy("h"))).where("upto >= rest and upto - count < rest")
     cut = stash(ties.select("source", "n", "h", F.expr("rest - upto + count").alias("equal"), (F.col("upto") > F.col("rest")).alias("tied")), "cuts", slim=True)
