@@ -12,22 +12,23 @@ empty set and no partner. All pairs with Jaccard >= ``threshold`` are found:
 * Heavy sets fall into classes of size, each class with lists of its own that hold its sets and those of the class below. As
   two similar sets share k grams of prefixes k - 1 longer, a class may list a hashed sample of the grams: at rate r with
   (1 - r)^k <= ``MISS`` / 2, a similar pair is missed with that probability at most. The rate that writes fewest entries is taken.
-* Candidates pass size and position filters, and an entry pair whose entries before were equal too is left to that list. Two sets
-  meet in a list only if enough of 128 bits of their entries are equal (``digests``, ``least_equal``), which a similar pair fails with
-  ``MISS`` / 2 at most, so that grams shared by chance make no pairs, however long their lists. Each distinct pair then passes a test of gram
-  counts by bucket (an upper bound of the overlap, for smaller sets) and is verified on the full sets, brought together by the smallest partner's name, so that a group of copies meets in one place and is moved about once.
-
-Equal sets are one set throughout (by two 64-bit names), so thousands of exact copies cost no pairs. Result: ``doc_id_a, doc_id_b, jaccard``; equal
-sets are written as a star (smallest id, other id, 1.0), and a pair of different sets once, between their smallest ids.
-Null ids are left out; null and empty texts have no partner; repeated rows of an id are one document; columns beside ``doc_id``
-and ``text`` are not read. Ties: of equal sets the least id stands for all. Very long texts are sets like others, held whole by one task.
+* Two sets are partners in a list if size, position and enough of 128 bits of their entries agree (``digests``, ``least_equal``), which
+  a similar pair fails with ``MISS`` / 2 at most, so that grams shared by chance make no partners. Entries without a partner end there.
+* A set joins the *unit* of the list in which it has most partners, so that a group of alike sets is a few units, however large. What is
+  written are pairs of units of which sets are partners, not pairs of sets; all sets of the two are then compared by their full grams,
+  64 common grams at once (``overlaps``). Units decide cost, never results. The comparisons within a group stay quadratic, its rows don't.
+
+Equal sets are one set throughout (by two 64-bit names), so thousands of copies cost no pairs.
+``join``
+has the pairs between the least ids of different sets, and a star for equal ones.
+Null ids are left out; null and empty texts have no partner; repeated rows of an id are one document; columns beside ``doc_id`` and ``text`` are not read. Ties: of equal sets the least id stands for all. Very long texts are sets like others, held whole by one task.
 An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +51,11 @@ BLOCK = 1 << 14
 BROADCAST_ROWS = 1_000_000
 #: Cost of looking at one entry of an inverted list, against that of writing one key.
 SCAN_COST = 0.05
-#: Bits of a digest, and most buckets of a set's counts.
-BINS, BAG = 128, 128
+#: Bits of a digest.
+BINS = 128
 SEEDS = np.random.default_rng(0x0D16).integers(0, 2**64, BINS, dtype=np.uint64)
-#: A pair that was met twice and once for this many grams is verified without a look at its bags.
-OFTEN = 150
-#: Pairs verified in one group before it is split.
-GROUP_PAIRS = 250_000
+#: Grams of the sets of one unit, and of the units of one meeting, before it is split.
+UNIT_GRAMS, MEETING_GRAMS = 2_000_000, 4_000_000
 
 
 def grams(b: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -217,49 +216,16 @@ def digests(s: Sets, t: float) -> np.ndarray:
     return out
 
 
-def bags(s: Sets) -> np.ndarray:
-    """A second name of each set, then gram counts in 8 to BAG buckets, a power of two near half the set's size (left out where a count
-    passes 255, and for sets of DIGESTED grams or more, which their digests tell apart)."""
-    rows = len(s.size)
+def second_names(s: Sets) -> np.ndarray:
+    """A second name of each set, independent of the first."""
     with np.errstate(over="ignore"):
         x = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s.key * A2 + A1))])
-        second = (x[s.start + s.size] - x[s.start]).view(np.uint8).reshape(rows, 8) if rows else np.zeros((0, 8), np.uint8)
-    width = np.clip(2 ** np.ceil(np.log2(np.maximum(s.size / 2, 1))), 8, BAG).astype(np.int64)
-    at = np.cumsum(width) - width
-    # a narrower bag is a wider one folded, so the bucket's high bits decide
-    bucket = ((s.key * A1) >> U(57)).astype(np.int64) * width[s.row] // 128
-    c = np.bincount(at[s.row] + bucket, minlength=int(width.sum()))
-    over = (np.maximum.reduceat(c, at) > 255) | (s.size >= DIGESTED) if rows else np.zeros(0, bool)
-    raw = np.minimum(c, 255).astype(np.uint8).tobytes()
-    out = np.empty(rows, object)
-    for i in range(rows):
-        out[i] = second[i].tobytes() + (b"" if over[i] else raw[at[i] : at[i] + width[i]])
-    return out
-
-
-def possible(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Pairs whose bags allow the overlap they need: it is at most the sum of the lesser counts."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        x, y, sx, sy = col(b, "bag_a").to_pylist(), col(b, "bag_b").to_pylist(), longs(b, "size_a"), longs(b, "size_b")
-        ok = np.ones(len(x), bool)
-        least = np.ceil(t / (1 + t) * (sx + sy) - 1e-9)
-        for i in np.flatnonzero(ok):
-            u, v = np.frombuffer(x[i], np.uint8, offset=8), np.frombuffer(y[i], np.uint8, offset=8)
-            if len(u) and len(v):
-                if len(u) != len(v):
-                    u, v = (u, v) if len(u) < len(v) else (v, u)
-                    v = v.reshape(len(u), -1).sum(1)
-                ok[i] = np.minimum(u, v).sum(dtype=np.int64) >= least[i]
-        if ok.any():
-            yield pa.record_batch([col(b, "a").filter(pa.array(ok)), col(b, "b").filter(pa.array(ok))], ["a", "b"])
+        return x[s.start + s.size] - x[s.start]
 
 
 def keys(batches: Iterator[pa.RecordBatch], n: int, t: float, x: int, wl: np.ndarray, gl: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (key, set, meta, before, d0, d1, e0, e1, bag): meta is size << 32 | position << 6 | rate << 2 | kind; kind 0 subset, 1 entry in the
-    lists of the class above, 2 in those of the set's own, 3 a member, whose bag counts its grams by bucket; before is a hash of
-    the set's entry before this one in the class; d0 to e1 are a list entry's digest."""
+    """Rows (key, name, meta, d0, d1, e0, e1): meta is size << 32 | position << 6 | rate << 2 | kind; kind 0 subset, 1 entry in the lists of
+    the class above, 2 in those of the set's own, 3 a member, whose key is its id; d0 to e1 are a list entry's digest, d0 a member's second name."""
     step = -math.log(t) * 1.0001
     rates = np.array([rate_of(x * math.exp(step * c), t) for c in range(64)])
     needs = np.array([need_of(j) for j in range(12)])
@@ -271,7 +237,6 @@ def keys(batches: Iterator[pa.RecordBatch], n: int, t: float, x: int, wl: np.nda
         pos = np.arange(len(s.row)) - s.start[s.row]
         own = np.floor(np.log(np.maximum(size, 1) / x) / step + 1e-12).astype(np.int64)  # -1 just below the boundary
         draw = mix(s.key ^ A2)
-        priors: list[np.ndarray] = []
         entry = digests(s, t)
         told: list[np.ndarray] = []
         for kind in (2, 1):
@@ -287,9 +252,6 @@ def keys(batches: Iterator[pa.RecordBatch], n: int, t: float, x: int, wl: np.nda
                 key = mix((s.key[listed] ^ A1) + c[r].astype(np.uint64) * A2)
             out.append((key, s.name[r], (size[r] << 32) | (pos[listed] << 6) | (rate[r] << 2) | kind))
             told.append(entry[r])
-            before = np.zeros(len(r), np.uint64)
-            before[1:] = np.where(r[1:] == r[:-1], key[:-1] | U(1), U(0))
-            priors.append((mix(before) >> U(32)).astype(np.uint32) * (before != 0).astype(np.uint32))
         for k in range(1, x):
             rows = np.flatnonzero(size == k)
             if not len(rows):
@@ -305,101 +267,200 @@ def keys(batches: Iterator[pa.RecordBatch], n: int, t: float, x: int, wl: np.nda
                 with np.errstate(over="ignore"):
                     out.append((mix(mix(m[:, i] * A1) + m[:, j]).ravel(), np.repeat(s.name[rows], len(i)), np.full(len(rows) * len(i), k << 32)))
         some = size > 0
-        out.append((s.name[some], longs(b, "doc_id")[some].astype(np.int64).view(np.uint64), (size[some] << 32) | 3))
-        # list and subset keys need no more bits than keep chance meetings few; a member's is its whole name
+        out.append((longs(b, "doc_id")[some].astype(np.int64).view(np.uint64), s.name[some], (size[some] << 32) | 3))
+        # list and subset keys need no more bits than keep chance meetings few; a member's is its whole id
         out = [(o[0] >> U(16), *o[1:]) for o in out[:-1]] + out[-1:]
         total = sum(len(o[0]) for o in out)
-        prior = np.concatenate([*priors, np.zeros(total - sum(map(len, priors)), np.uint32)]).view(np.int32)
-        bag = pa.array([None] * (total - int(some.sum())) + bags(s)[some].tolist(), pa.binary())
         digest = np.concatenate([*told, np.zeros((total - sum(map(len, told)), 4), np.int64)])
-        columns = [signed(np.concatenate([o[0] for o in out])), signed(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out])), pa.array(prior), *[pa.array(np.ascontiguousarray(digest[:, k])) for k in range(4)], bag]
-        yield pa.record_batch(columns, ["key", "name", "meta", "before", *DIGEST, "bag"])
+        digest[total - int(some.sum()) :, 0] = second_names(s)[some].view(np.int64)
+        columns = [signed(np.concatenate([o[0] for o in out])), signed(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out])), *[pa.array(np.ascontiguousarray(digest[:, k])) for k in range(4)]]
+        yield pa.record_batch(columns, ["key", "name", "meta", *DIGEST])
+
+
+ENTRIES = "what int, key long, name long, meta long, many long, d0 long, d1 long, e0 long, e1 long"
+
+
+def partners(key: np.ndarray, meta: np.ndarray, digest: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Entries of one list that may be of similar sets, for entries sorted by list and size: by size, position and digest."""
+    spares, least_bits = np.array([need_of(j) - 1 if j < 12 else 0 for j in range(16)]), int(least_equal(t)[BINS])
+    group, size, pos = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])), meta >> 32, (meta & 0xFFFFFFFF) >> 6
+    spare, kind, digest = spares[(meta >> 2) & 15], meta & 3, digest.view(np.uint64)
+    joint = (group << 32) | size
+    count = np.searchsorted(joint, (group << 32) | np.floor(size / t + 1e-9).astype(np.int64), side="right") - np.arange(len(joint)) - 1
+    at, ends = 0, np.cumsum(count)
+    while at < len(count):  # pairs are expanded a bounded number at a time
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000, side="right")))
+        c = count[at:to]
+        i = np.repeat(np.arange(at, to), c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        at = to
+        ok = (kind[i] == 0) | ((kind[i] | kind[j]) >= 2)
+        least = np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9)
+        ok &= (kind[i] == 0) | (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= least - spare[i])
+        i, j = i[ok], j[ok]
+        both = ((size[i] < DIGESTED) & (size[j] >= DIGESTED))[:, None]  # size[i] is the lesser one
+        unlike = np.bitwise_count(digest[i, :2] ^ np.where(both, digest[j, 2:], digest[j, :2])).sum(1, dtype=np.int64)
+        ok = (kind[i] == 0) | (BINS - unlike >= least_bits)
+        yield i[ok], j[ok]
 
 
 def scan(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Candidates and members from sorted keys: rows (what, a, b, size, bag), 0 a pair of sets, 1 an id, its set and that one's bag."""
-
-    spares = np.array([need_of(j) - 1 if j < 12 else 0 for j in range(16)])
-    least_bits = int(least_equal(t)[BINS])
-
-    def pairs(a: np.ndarray, c: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(c), pa.array(size), pa.nulls(len(a), pa.binary())], ["what", "a", "b", "size", "bag"])
-
+    """From sorted keys, rows with what = 1 for members, and 0 for the entries that have partners in their list, and how many."""
+    names = ["what", "key", "name", "meta", "many", *DIGEST]
     for b in whole_groups(batches, "key"):
         key, name, meta = longs(b, "key"), longs(b, "name"), longs(b, "meta")
-        before, digest = longs(b, "before"), np.stack([longs(b, c).view(np.uint64) for c in DIGEST], 1)
+        digest = np.stack([longs(b, c) for c in DIGEST], 1)
+        rows = lambda what, k, many: pa.record_batch([pa.array(np.full(len(k), what, np.int32)), *[pa.array(v) for v in (key[k], name[k], meta[k], many)], *[pa.array(np.ascontiguousarray(digest[k, c])) for c in range(4)]], names)
         member = (meta & 3) == 3
         if member.any():
-            m = pa.array(member)
-            yield pa.record_batch([pa.array(np.ones(member.sum(), np.int32)), pa.array(name[member]), pa.array(key[member]), pa.array(meta[member] >> 32), col(b, "bag").filter(m)], ["what", "a", "b", "size", "bag"])
-        keep = ~member
-        keep[1:] &= ~((key[1:] == key[:-1]) & (name[1:] == name[:-1]) & ~member[:-1])
-        many = np.zeros(len(key), bool)
-        kk = np.flatnonzero(keep)
-        if len(kk) < 2:
+            k = np.flatnonzero(member)
+            yield rows(1, k, np.zeros(len(k), np.int64))
+        k = np.flatnonzero(~member)
+        k = k[np.concatenate([[True], (key[k[1:]] != key[k[:-1]]) | (name[k[1:]] != name[k[:-1]])])[: len(k)]]
+        same = key[k[1:]] == key[k[:-1]]
+        k = k[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(k) > 1 else k[:0]
+        if not len(k):
             continue
-        same = key[kk[1:]] == key[kk[:-1]]
-        many[kk[1:][same]] = True
-        many[kk[:-1][same]] = True
-        key, name, meta, before, digest = (v[many] for v in (key, name, meta, before, digest))
-        if not len(key):
-            continue
-        group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        size = meta >> 32
-        o = np.lexsort((size, group))
-        digest = digest[o]
-        group, size, name, before, pos, spare, kind = group[o], size[o], name[o], before[o], ((meta & 0xFFFFFFFF) >> 6)[o], spares[(meta >> 2) & 15][o], (meta & 3)[o]
-        joint = (group.astype(np.int64) << 32) | size
-        reach = np.searchsorted(joint, (group.astype(np.int64) << 32) | np.floor(size / t + 1e-9).astype(np.int64), side="right")
-        count = reach - np.arange(len(joint)) - 1
-        at = 0
-        ends = np.cumsum(count)
-        while at < len(count):  # pairs are expanded a bounded number at a time
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, side="right")))
-            c = count[at:to]
-            i = np.repeat(np.arange(at, to), c)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-            at = to
-            ok = (kind[i] == 0) | ((kind[i] | kind[j]) >= 2)
-            least = np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9)
-            ok &= (kind[i] == 0) | (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= least - spare[i])
-            ok &= (before[i] != before[j]) | (before[i] == 0)
-            i, j = i[ok], j[ok]
-            both = ((size[i] < DIGESTED) & (size[j] >= DIGESTED))[:, None]  # size[i] is the lesser one
-            unlike = np.bitwise_count(digest[i, :2] ^ np.where(both, digest[j, 2:], digest[j, :2])).sum(1, dtype=np.int64)
-            ok = (kind[i] == 0) | (BINS - unlike >= least_bits)
-            i, j = i[ok], j[ok]
-            a, c2 = name[i], name[j]
-            lo, hi, larger = np.minimum(a, c2), np.maximum(a, c2), np.maximum(size[i], size[j])
-            if len(lo):
-                u = np.lexsort((hi, lo))
-                lo, hi, larger = lo[u], hi[u], larger[u]
-                d = np.ones(len(lo), bool)
-                d[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-                yield pairs(lo[d], hi[d], larger[d])
+        k = k[np.lexsort((meta[k] >> 32, key[k]))]
+        many = np.zeros(len(k), np.int64)
+        for i, j in partners(key[k], meta[k], digest[k], t):
+            many += np.bincount(i, minlength=len(k)) + np.bincount(j, minlength=len(k))
+        if many.any():
+            yield rows(0, k[many > 0], many[many > 0])
+
+
+def unit_pairs(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of units (a <= b) of which sets are partners in a list."""
+    for b in whole_groups(batches, "key"):
+        key, meta, unit, digest = longs(b, "key"), longs(b, "meta"), longs(b, "unit"), np.stack([longs(b, c) for c in DIGEST], 1)
+        o = np.lexsort((meta >> 32, key))
+        ids, unit = np.unique(unit[o], return_inverse=True)
+        seen = np.zeros(0, np.int64)
+        for i, j in partners(key[o], meta[o], digest[o], t):
+            x = np.unique(np.minimum(unit[i], unit[j]) * len(ids) + np.maximum(unit[i], unit[j]))
+            seen = np.union1d(seen, x)
+        if len(seen):
+            yield pa.record_batch([pa.array(ids[seen // len(ids)]), pa.array(ids[seen % len(ids)])], ["a", "b"])
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """How many grams each set of a shares with each of b, some rows of a at a time: (first row, counts).
+
+    Grams that many sets hold are bits of a word, counted 64 at once; for the others pairs of sets are listed.
+    """
+    na, nb = len(a), len(b)
+    size = np.array([len(x) for x in a] + [len(x) for x in b])
+    _, gram = np.unique(np.concatenate(a + b), return_inverse=True)
+    gram, owner = gram.astype(np.int64), np.repeat(np.arange(na + nb), size)
+    in_a = np.bincount(gram[owner < na], minlength=int(gram.max()) + 1)
+    in_b = np.bincount(gram[owner >= na], minlength=len(in_a))
+    dense = in_a * in_b * 32 > na * nb
+    column = np.cumsum(dense) - 1
+    bits = np.zeros((-(-int(dense.sum()) // 64) or 1, na + nb), np.uint64)
+    on = dense[gram]
+    c = column[gram[on]]
+    np.bitwise_or.at(bits, (c >> 6, owner[on]), U(1) << (c & 63).astype(np.uint64))
+    rare = ~on & ((in_a > 0) & (in_b > 0))[gram]
+    left, right = rare & (owner < na), rare & (owner >= na)
+    lg, lo = gram[left], owner[left]
+    o = np.argsort(gram[right], kind="stable")
+    rg, ro = gram[right][o], owner[right][o] - na
+    begin, end = np.searchsorted(rg, lg, side="left"), np.searchsorted(rg, lg, side="right")
+    step = max(1, 200_000 // nb)
+    for at in range(0, na, step):
+        to = min(at + step, na)
+        n = np.zeros((to - at, nb), np.int64)
+        for w in bits:
+            n += np.bitwise_count(w[at:to, None] & w[None, na:])
+        p, q = np.searchsorted(lo, [at, to])
+        k = end[p:q] - begin[p:q]
+        if k.sum():
+            j = ro[np.repeat(begin[p:q], k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)]
+            n += np.bincount(np.repeat(lo[p:q] - at, k) * nb + j, minlength=n.size).reshape(n.shape)
+        yield at, n
+
+
+def merged(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least member of each one's group after x[k] and y[k] are joined."""
+    while True:
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        if not apart.any():
+            return root
+        x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
+        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def similar(b: pa.RecordBatch, t: float, each: Callable[[np.ndarray, np.ndarray, np.ndarray], None], start: Callable[[np.ndarray, np.ndarray], None]) -> Iterator[None]:
+    """Verifies the unit pairs of whole meetings; for every meeting ``start`` gets its sets' names and copies, then ``each`` similar pairs
+    (by number) with their similarity."""
+    meet, ua, ub, name, copies = (longs(b, c) for c in ("meet", "a", "b", "name", "copies"))
+    g = col(b, "grams")
+    is_set = g.is_valid().to_numpy(zero_copy_only=False)
+    off, val = g.offsets.to_numpy(), g.values.to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.concatenate([[True], meet[1:] != meet[:-1], [True]]))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        at = lo + np.flatnonzero(is_set[lo:hi])
+        at = at[np.unique(name[at], return_index=True)[1]]  # repeated rows of an id
+        size = off[at + 1] - off[at]
+        at = at[np.lexsort((size, ua[at]))]
+        size, sets = off[at + 1] - off[at], [val[off[i] : off[i + 1]] for i in at]
+        unit, first = np.unique(ua[at], return_index=True)
+        last = np.append(first[1:], len(at))
+        start(name[at], copies[at])
+        for i in lo + np.flatnonzero(~is_set[lo:hi]):
+            u, v = np.searchsorted(unit, [ua[i], ub[i]])
+            x0, x1, y0, y1 = first[u], last[u], first[v], last[v]
+            if (x1 - x0) * (y1 - y0) <= 4:
+                for x in range(x0, x1):
+                    for y in range(max(y0, x + 1) if u == v else y0, y1):
+                        p, q = (sets[x], sets[y]) if size[x] <= size[y] else (sets[y], sets[x])
+                        if len(p) >= t * len(q) - 1e-9:
+                            inter = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                            j = inter / (len(p) + len(q) - inter)
+                            if j >= t:
+                                each(np.array([x]), np.array([y]), np.array([j]))
+                continue
+            for r, n in overlaps(sets[x0:x1], sets[y0:y1]):
+                sx, sy = size[x0 + r : x0 + r + len(n), None], size[None, y0:y1]
+                k, m = np.nonzero(n >= t / (1 + t) * (sx + sy) - 1e-6)
+                n, x, y = n[k, m], x0 + r + k, y0 + m
+                j = n / (size[x] + size[y] - n)
+                ok = (j >= t) & ((x < y) | (u != v))
+                each(x[ok], y[ok], j[ok])
+        yield
 
 
 def verify(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """Similar pairs of sets."""
+    now: list[np.ndarray] = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for b in whole_groups(batches, "meet"):
+        for _ in similar(b, t, lambda x, y, j: out.append((now[0][x], now[0][y], j)), lambda names, _: now.__setitem__(slice(None), [names])):
+            for x, y, j in out:
+                yield pa.record_batch([pa.array(x), pa.array(y), pa.array(j)], ["a", "b", "jaccard"])
+            out.clear()
+
+
+def linked(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """For each set with a similar one: how many documents those are, and a set of its group, in place of the pairs."""
+
+    class Meeting:
+        def start(self, names: np.ndarray, copies: np.ndarray) -> None:
+            self.names, self.copies, self.n, self.root = names, copies, np.zeros(len(names), np.int64), np.arange(len(names))
+
+        def each(self, x: np.ndarray, y: np.ndarray, _: np.ndarray) -> None:
+            self.n += np.bincount(x, self.copies[y], len(self.n)).astype(np.int64) + np.bincount(y, self.copies[x], len(self.n)).astype(np.int64)
+            self.root = merged(self.root, x, y)
+
+    m = Meeting()
     for b in whole_groups(batches, "meet"):
-        a, c, meet = longs(b, "a"), longs(b, "b"), longs(b, "meet")
-        g = col(b, "grams")
-        is_set = g.is_valid().to_numpy(zero_copy_only=False)
-        off, val = g.offsets.to_numpy(), g.values.to_numpy(zero_copy_only=False)
-        sets = {(int(meet[i]), int(a[i])): val[off[i] : off[i + 1]] for i in np.flatnonzero(is_set)}
-        out_a, out_b, jac = [], [], []
-        for i in np.flatnonzero(~is_set):
-            x, y = sets[int(meet[i]), int(a[i])], sets[int(meet[i]), int(c[i])]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            inter = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            j = inter / (len(x) + len(y) - inter)
-            if j >= t:
-                out_a.append(a[i])
-                out_b.append(c[i])
-                jac.append(j)
-        if jac:
-            yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(jac, pa.float64())], ["a", "b", "jaccard"])
+        for _ in similar(b, t, m.each, m.start):
+            some = m.n > 0
+            if some.any():
+                yield pa.record_batch([pa.array(m.names[some]), pa.array(m.names[m.root[some]]), pa.array(m.n[some])], ["a", "b", "n"])
 
 
 def by_id(docs: DataFrame, ids: DataFrame, how: str = "inner", weight: str = "1") -> DataFrame:
@@ -408,46 +469,45 @@ def by_id(docs: DataFrame, ids: DataFrame, how: str = "inner", weight: str = "1"
     return docs.join(F.broadcast(ids) if small else ids.hint("merge"), "doc_id", how)
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Similar pairs; see the module's docstring."""
-    return joined(docs, n, threshold)[0]
-
-
-def joined(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Similar pairs, and every id that has words with its number of rows."""
+def meetings(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Unit pairs to verify with the sets they need, those that go together sorted by meeting; and (doc_id, name, times, rep, copies), every
+    id that has words with its set, number of rows, and the set's least id and number of ids."""
     t = threshold
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     wc, gc = sketch(docs, n)
     x, wl, gl = boundary(gc, t), levels(wc, 2.0, 1.0), levels(gc, 4.0, 1.0)
-    rows = docs.mapInArrow(lambda bs: keys(bs, n, t, x, wl, gl), "key long, name long, meta long, before int, d0 long, d1 long, e0 long, e1 long, bag binary")
-    lists = rows.repartition("key").sortWithinPartitions("key", "name").mapInArrow(lambda bs: scan(bs, t), "what int, a long, b long, size long, bag binary")
-    found = stash(lists.groupBy("what", "a", "b").agg(F.count("*").alias("times"), F.max("size").alias("size"), F.max("bag").alias("bag")), "candidates")
-    members = found.where("what = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("name"), "times", F.substring("bag", 1, 8).alias("second"))
-    reps = members.groupBy("name").agg(F.min(F.struct("doc_id", "second")).alias("r")).select("name", "r.doc_id", "r.second").withColumnRenamed("doc_id", "rep")
-    rep_second = reps.withColumnRenamed("second", "rep_second")
-    reps = reps.drop("second")
-    bag = found.where("what = 1").groupBy("b").agg(F.max("size").alias("size"), F.max("bag").alias("bag"))
-    side = lambda k: bag.select(F.col("b").alias(k), F.col("size").alias(f"size_{k}"), F.col("bag").alias(f"bag_{k}"))
-    often = f"times > 1 and times * {OFTEN} > size"
-    few = found.where(f"what = 0 and not ({often})").select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    few = few.mapInArrow(lambda bs: possible(bs, t), "a long, b long")  # pairs met more often are nearly all similar
-    pairs = stash(few.unionByName(found.where(f"what = 0 and {often}").select("a", "b")), "pairs", slim=True)
+    rows = docs.mapInArrow(lambda bs: keys(bs, n, t, x, wl, gl), "key long, name long, meta long, d0 long, d1 long, e0 long, e1 long")
+    found = stash(rows.repartition("key").sortWithinPartitions("key", "name").mapInArrow(lambda bs: scan(bs, t), ENTRIES), "entries")
+    members = found.where("what = 1").groupBy(F.col("key").alias("doc_id"), "name").agg(F.count("*").alias("times"), F.min("d0").alias("second"))
+    # sets of one name are equal if their second names are, too; all others stand for themselves
+    reps = members.groupBy("name", "second").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    members = stash(members.join(reps, ["name", "second"]).select("doc_id", "name", "times", "rep", "copies"), "members")
+
+    entries = found.where("what = 0")
+    picked = entries.groupBy("name").agg(F.max(F.struct("many", "key")).alias("m"), F.max(F.shiftright("meta", 32)).alias("grams")).select("name", "grams", F.col("m.key").alias("list"))
+    picked = stash(picked, "picked", slim=True)
+    ways = picked.groupBy("list").agg(F.ceil(F.sum("grams") / UNIT_GRAMS).cast("long").alias("ways"))
+    units = stash(picked.join(ways, "list").select("name", "grams", F.xxhash64("list", F.pmod(F.xxhash64("name"), F.col("ways"))).alias("unit")), "units", slim=True)
+    pairs = entries.join(units.select("name", "unit"), "name").select("key", "unit", "meta", *DIGEST)
+    pairs = stash(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(lambda bs: unit_pairs(bs, t), "a long, b long").distinct(), "pairs", slim=True)
 
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"))
     # once more over the neighbours: in a group whose pairs are not all similar, nearly all now have one label
     label = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
+    heavy = units.groupBy("unit").agg(F.sum("grams").alias("grams"))
     per = pairs.join(label, "a").select("label", "a", "b")
-    load = per.groupBy("label").agg(F.ceil(F.count("*") / GROUP_PAIRS).cast("long").alias("ways"))
+    load = per.select("label", F.explode(F.array("a", "b")).alias("unit")).distinct().join(heavy, "unit").groupBy("label").agg(F.ceil(F.sum("grams") / MEETING_GRAMS).cast("long").alias("ways"))
     meet = F.xxhash64("label", F.pmod(F.xxhash64("b"), F.col("ways")))
     per = stash(per.join(load, "label").select(meet.alias("meet"), "a", "b"), "meetings", slim=True)
-    wanted = per.select("meet", F.explode(F.array("a", "b")).alias("name")).distinct()
-    wanted = wanted.groupBy("name").agg(F.collect_list("meet").alias("meets")).join(reps, "name").select(F.col("rep").alias("doc_id"), "name", "meets")
+    wanted = per.select("meet", F.explode(F.array("a", "b")).alias("unit")).distinct()
+    who = members.where("doc_id = rep").select("name", "doc_id", "copies")
+    wanted = wanted.groupBy("unit").agg(F.collect_list("meet").alias("meets")).join(units, "unit").join(who, "name").select("doc_id", "name", "unit", "copies", "meets")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", MAX_BYTES // 2):
             s = Sets(b, n, wl, gl)
-            name, meets = longs(b, "name"), col(b, "meets")
+            name, unit, copies, meets = longs(b, "name"), longs(b, "unit"), longs(b, "copies"), col(b, "meets")
             off, val = meets.offsets.to_numpy(), meets.values.to_numpy(zero_copy_only=False)
             times = np.where(s.name.view(np.int64) == name, np.diff(off), 0)
             who = np.repeat(np.arange(b.num_rows), times)
@@ -455,16 +515,35 @@ def joined(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFr
                 r = who[at : at + 512]
                 k = np.arange(at, at + len(r)) - np.repeat(np.cumsum(times) - times, times)[at : at + 512]
                 values = np.concatenate([np.sort(s.key[s.start[i] : s.start[i] + s.size[i]].view(np.int64)) for i in r])
-                yield pa.record_batch([pa.array(val[off[r] + k]), pa.array(name[r]), pa.nulls(len(r), pa.int64()), list_of(values, s.size[r], pa.int64())], ["meet", "a", "b", "grams"])
+                yield pa.record_batch([pa.array(val[off[r] + k]), pa.array(unit[r]), pa.nulls(len(r), pa.int64()), pa.array(name[r]), pa.array(copies[r]), list_of(values, s.size[r], pa.int64())], ["meet", "a", "b", "name", "copies", "grams"])
 
-    shape = "meet long, a long, b long, grams array<long>"
+    shape = "meet long, a long, b long, name long, copies long, grams array<long>"
     sets = by_id(docs, stash(wanted, "wanted", slim=True), weight="size(meets)").mapInArrow(fetch, shape)
-    work = sets.unionByName(per.withColumn("grams", F.lit(None).cast("array<long>")))
-    checked = work.repartition("meet").sortWithinPartitions("meet").mapInArrow(lambda bs: verify(bs, t), "a long, b long, jaccard double")
-    ra, rb = reps.select(F.col("name").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("name").alias("b"), F.col("rep").alias("rb"))
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("name", "long"), ("copies", "long"), ("grams", "array<long>"))]
+    return sets.unionByName(per.select("*", *none)).repartition("meet").sortWithinPartitions("meet"), members
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """Similar pairs (``doc_id_a, doc_id_b, jaccard``): equal sets are a star (smallest id, other id, 1.0), and a pair of different sets is there
+    once, between their smallest ids. As many rows as there are pairs of different sets."""
+    work, members = meetings(docs, n, threshold)
+    reps = members.where("doc_id = rep").select("name", "rep")
+    checked = work.mapInArrow(lambda bs: verify(bs, threshold), "a long, b long, jaccard double")
+    ra, rb = (reps.select(F.col("name").alias(k), F.col("rep").alias(f"r{k}")) for k in "ab")
     near = checked.join(ra, "a").join(rb, "b").select(F.least("ra", "rb").alias("doc_id_a"), F.greatest("ra", "rb").alias("doc_id_b"), "jaccard")
-    same = members.join(rep_second, "name").where("doc_id <> rep and second = rep_second").select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard")).distinct()
-    return near.where("doc_id_a <> doc_id_b").unionByName(same), members.select("doc_id", "times")
+    same = members.where("doc_id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard")).distinct()
+    return near.where("doc_id_a <> doc_id_b").unionByName(same)
+
+
+def classes(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, group) of ids that have a partner, as ``components`` has them; (name, n) of sets that have one of another set; and members."""
+    work, members = meetings(docs, n, threshold)
+    found = stash(work.mapInArrow(lambda bs: linked(bs, threshold), "a long, b long, n long"), "links", slim=True)
+    reps = members.where("doc_id = rep").select("name", "rep")
+    ra, rb = (reps.select(F.col("name").alias(k), F.col("rep").alias(f"doc_id_{k}")) for k in "ab")
+    near = found.where("a <> b").join(ra, "a").join(rb, "b").select("doc_id_a", "doc_id_b").where("doc_id_a <> doc_id_b")
+    edges = near.unionByName(members.where("doc_id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b")))
+    return components(edges), found.groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("n")), members
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -493,8 +572,8 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
     Rows without an id or without words stay as they are, so that null and empty texts are nobody's copies; an empty table stays empty.
     """
     mark = stashed()
-    pairs, members = joined(docs, n, threshold)
-    gone = stash(components(pairs).where("doc_id <> group").select("doc_id"), "gone", slim=True)
+    groups, _, members = classes(docs, n, threshold)
+    gone = stash(groups.where("doc_id <> group").select("doc_id"), "gone", slim=True)
     again = stash(members.groupBy("doc_id").agg(F.sum("times").alias("times")).where("times > 1").select("doc_id"), "again", slim=True)
     forget_since(mark, gone, again)
     kept = by_id(docs, gone, "left_anti")

@@ -75,6 +75,27 @@ def test_default_agrees_with_sql(table, corpus):
     assert want == {tuple(r) for r in jaccard.join(table(corpus)).collect()}
 
 
+def test_a_group_of_alike_texts_makes_few_rows(table):
+    """Rows follow the documents, not the similar pairs: neither the result's nor those that are written on the way."""
+    rng = random.Random(7)
+    base = prose(rng, 150)
+    rows = [row(i, edited(rng, base, 0.03)) for i in range(300)]
+    work, _ = jaccard.meetings(table(rows), 2, 0.7)
+    assert work.where("grams is null").count() < 150
+    assert work.where("grams is not null").count() < 3 * len(rows)
+
+
+@pytest.mark.parametrize("vocabulary", [40, 400, 100_000])
+def test_overlaps(vocabulary):
+    rng = np.random.default_rng(vocabulary)
+    a, b = ([np.unique(rng.integers(0, vocabulary, rng.integers(1, 120))) for _ in range(k)] for k in (70, 31))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    got = np.zeros((70, 31), int)
+    for at, n in jaccard.overlaps(a, b):
+        got[at : at + len(n)] = n
+    assert (got == want).all()
+
+
 def test_groups(table, corpus):
     pairs = [(r[0], r[1]) for r in jaccard.join(table(corpus)).collect()]
     parent = {r[0]: r[0] for r in corpus}
