@@ -18,10 +18,12 @@ empty set and no partner. All pairs with Jaccard >= ``threshold`` are found:
   written are pairs of units of which sets are partners, not pairs of sets; all sets of the two are then compared by their full grams,
   64 common grams at once (``overlaps``). Units decide cost, never results. The comparisons within a group stay quadratic, its rows don't.
 
-Equal sets are one set throughout (by two 64-bit names), so thousands of copies cost no pairs.
-``join``
+Equal sets are one set throughout (by two 64-bit names), so thousands of copies cost no pairs. ``links`` has a row for every id:
+``doc_id, class_id, n_links``. n_links is the number of other documents that are similar, counted by id, so that those whose sets are equal, texts
+that differ among them, each have all their links. class_id is the least id of the group that chains of links connect, a document's own where it has none. ``join``
 has the pairs between the least ids of different sets, and a star for equal ones.
-Null ids are left out; null and empty texts have no partner; repeated rows of an id are one document; columns beside ``doc_id`` and ``text`` are not read. Ties: of equal sets the least id stands for all. Very long texts are sets like others, held whole by one task.
+Null ids are left out; null and empty texts have no partner; repeated rows of an id are one document, and an id with several texts has
+the links of each; columns beside ``doc_id`` and ``text`` are not read. Ties: of equal sets the least id stands for all. Very long texts are sets like others, held whole by one task.
 An empty table gives an empty result.
 """
 
@@ -525,7 +527,7 @@ def meetings(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Data
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """Similar pairs (``doc_id_a, doc_id_b, jaccard``): equal sets are a star (smallest id, other id, 1.0), and a pair of different sets is there
-    once, between their smallest ids. As many rows as there are pairs of different sets."""
+    once, between their smallest ids. As many rows as there are pairs of different sets; ``links`` has as many as documents."""
     work, members = meetings(docs, n, threshold)
     reps = members.where("doc_id = rep").select("name", "rep")
     checked = work.mapInArrow(lambda bs: verify(bs, threshold), "a long, b long, jaccard double")
@@ -546,6 +548,14 @@ def classes(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataF
     return components(edges), found.groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("n")), members
 
 
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """Every document with its class and number of links; see the module's docstring."""
+    groups, near, members = classes(docs, n, threshold)
+    count = members.join(near, "name", "left").groupBy("doc_id").agg(F.sum(F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    return ids.join(count, "doc_id", "left").join(groups, "doc_id", "left").select("doc_id", F.coalesce("group", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(doc_id, group) with the smallest id of each connected component, for ids that have a partner: alternating large and small stars."""
     edges = stash(pairs.select(F.greatest("doc_id_a", "doc_id_b").alias("u"), F.least("doc_id_a", "doc_id_b").alias("v")).distinct(), "edges", slim=True)
@@ -595,3 +605,22 @@ o AS (SELECT a.rep AS ra, b.rep AS rb, a.size AS sa, b.size AS sb, count(*) AS o
 SELECT ra AS doc_id_a, rb AS doc_id_b, o / (sa + sb - o)::DOUBLE AS jaccard FROM o WHERE o / (sa + sb - o)::DOUBLE >= 0.7
 UNION ALL SELECT * FROM same
 """
+
+LINKS_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-/:-@\[-`{-\x7f]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS g
+      FROM w WHERE len(w) > 0),
+s AS (SELECT g, min(doc_id) AS rep, len(g) AS size, count(*) AS copies FROM g GROUP BY g),
+m AS (SELECT g.doc_id, s.rep, s.copies FROM g JOIN s USING (g)),
+e AS (SELECT rep, size, unnest(g) AS x FROM s),
+o AS (SELECT a.rep AS ra, b.rep AS rb, a.size AS sa, b.size AS sb, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.rep <> b.rep
+      AND a.size >= 0.7 * b.size AND b.size >= 0.7 * a.size GROUP BY ALL),
+near AS (SELECT ra, rb FROM o WHERE o / (sa + sb - o)::DOUBLE >= 0.7),
+n AS (SELECT ra AS rep, sum(s.copies) AS n FROM near JOIN s ON s.rep = rb GROUP BY ra),
+step AS (SELECT ra, rb FROM near UNION SELECT a.rep, b.rep FROM m a JOIN m b USING (doc_id) WHERE a.rep <> b.rep),
+reach AS (SELECT DISTINCT rep AS a, rep AS b FROM s UNION SELECT reach.a, step.rb FROM reach JOIN step ON step.ra = reach.b),
+c AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(min(c.class_id), d.doc_id)::BIGINT AS class_id, coalesce(sum(m.copies - 1 + coalesce(n.n, 0)), 0)::BIGINT AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN m USING (doc_id) LEFT JOIN c ON c.rep = m.rep LEFT JOIN n ON n.rep = m.rep
+GROUP BY d.doc_id
+"""

@@ -14,7 +14,8 @@ def op1_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(documents(spark, sf_dir))
+    """Every document with its class and its number of links."""
+    return jaccard.links(documents(spark, sf_dir))
 
 
 def op10_recompression_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +68,4 @@ QUERIES = {
     )
 }
 
-SQL = {"op4_token_rollup": rollup.TOTALS_SQL, "op7_ngram_jaccard_join": jaccard.PAIRS_SQL}
+SQL = {"op4_token_rollup": rollup.TOTALS_SQL, "op7_ngram_jaccard_join": jaccard.LINKS_SQL}

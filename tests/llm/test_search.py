@@ -75,6 +75,35 @@ def test_default_agrees_with_sql(table, corpus):
     assert want == {tuple(r) for r in jaccard.join(table(corpus)).collect()}
 
 
+def linked(rows, t=0.7):
+    """(doc_id, class_id, n_links) by comparing all documents, copies too."""
+    sets = {r[0]: grams(r[1], 2) for r in rows}
+    near = {i: {j for j, b in sets.items() if j != i and a and b and min(len(a), len(b)) >= t * max(len(a), len(b)) and len(a & b) / len(a | b) >= t} for i, a in sets.items()}
+    group = {}
+    for i in sorted(near):
+        todo = [i] if i not in group else []
+        while todo:
+            x = todo.pop()
+            if x not in group:
+                group[x] = i
+                todo += near[x]
+    return {(i, group[i], len(near[i])) for i in near}
+
+
+def test_links_count_copies_and_texts_that_differ(table, corpus, odd, empty):
+    """Equal sets of texts that differ have their links to all others each, not the least id alone."""
+    again = [row(1000 + r[0], r[1].upper() + "!") for r in corpus[::5]] + [row(3000, ""), row(3001, "lone"), row(3002, None)]
+    rows = corpus + again
+    got = [tuple(r) for r in jaccard.links(table(rows)).collect()]
+    assert len(got) == len(rows)
+    assert set(got) == linked(rows)
+    assert sum(n for *_, n in got) > 2 * len(jaccard.join(table(rows)).collect())
+    documents = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})  # noqa: F841
+    assert set(duckdb.sql(jaccard.LINKS_SQL).fetchall()) == set(got)
+    assert {tuple(r) for r in jaccard.links(odd).collect()} == {(i, 4 if i == 5 else i, int(i in (4, 5))) for i in range(1, 10)}
+    assert jaccard.links(empty).count() == 0
+
+
 def test_a_group_of_alike_texts_makes_few_rows(table):
     """Rows follow the documents, not the similar pairs: neither the result's nor those that are written on the way."""
     rng = random.Random(7)
@@ -83,6 +112,9 @@ def test_a_group_of_alike_texts_makes_few_rows(table):
     work, _ = jaccard.meetings(table(rows), 2, 0.7)
     assert work.where("grams is null").count() < 150
     assert work.where("grams is not null").count() < 3 * len(rows)
+    got = {tuple(r) for r in jaccard.links(table(rows)).collect()}
+    assert got == linked(rows)
+    assert sum(n for *_, n in got) > 50_000  # 27,000 pairs
 
 
 @pytest.mark.parametrize("vocabulary", [40, 400, 100_000])
