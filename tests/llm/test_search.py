@@ -117,6 +117,16 @@ def test_a_group_of_alike_texts_makes_few_rows(table):
     assert sum(n for *_, n in got) > 50_000  # 27,000 pairs
 
 
+def test_near_duplicates_connect_a_group_without_its_pairs(table):
+    """The pipeline's stage gets a row or two for each set, whatever the number of pairs, and keeps one document."""
+    rng = random.Random(8)
+    base = prose(rng, 200)
+    docs = table([row(i, edited(rng, base, 0.02)) for i in range(200)])
+    work, _ = jaccard.meetings(docs, 2, 0.7)
+    assert work.mapInArrow(lambda bs: jaccard.linked(bs, 0.7), "a long, b long, n long").count() < 3 * 200
+    assert [r.doc_id for r in jaccard.keep_one(docs).collect()] == [0]
+
+
 @pytest.mark.parametrize("vocabulary", [40, 400, 100_000])
 def test_overlaps(vocabulary):
     rng = np.random.default_rng(vocabulary)
