@@ -127,6 +127,105 @@ def test_near_duplicates_connect_a_group_without_its_pairs(table):
     assert [r.doc_id for r in jaccard.keep_one(docs).collect()] == [0]
 
 
+def entries(rng, lists, size):
+    """Sorted list entries of alike and of chance sets, some of subset lists, with sizes about DIGESTED."""
+    key = np.sort(rng.integers(0, lists, size)).astype(np.int64)
+    grams = rng.integers(200, 330, size)
+    o = np.lexsort((grams, key))
+    key, grams = key[o], grams[o]
+    kind = np.where(key % 5 == 4, 0, rng.integers(1, 3, size))
+    meta = grams << 32 | rng.integers(0, 150, size) << 6 | (key % 4) << 2 | kind
+    flipped = rng.random((size, 4, 64)) < rng.choice([0.02, 0.15, 0.5], (size, 1, 1))
+    base = rng.random((1, 4, 64)) < 0.5
+    return key, meta, np.packbits(base ^ flipped, 2).view(np.int64).reshape(size, 4)
+
+
+@pytest.mark.parametrize("tile", [7, 128])
+def test_long_lists_have_the_partners_of_short_ones(monkeypatch, tile):
+    key, meta, digest = entries(np.random.default_rng(tile), 9, 1500)
+    monkeypatch.setattr(jaccard, "TILE", tile)
+
+    def found():
+        out = [(i, j) for i, j in jaccard.partners(key, meta, digest, 0.7)]
+        out += [(r + x, c + y) for r, c, ok in jaccard.tiles(key, meta, digest, 0.7) for x, y in [np.nonzero(ok)]]
+        got = sorted(p for i, j in out for p in zip(i.tolist(), j.tolist(), strict=True))
+        assert len(set(got)) == len(got)
+        return got, sum(len(i) for i, _ in out)
+
+    monkeypatch.setattr(jaccard, "LISTED", 10**12)
+    want, _ = found()
+    assert len(want) > 10_000
+    for listed in (0, 12_000):
+        monkeypatch.setattr(jaccard, "LISTED", listed)
+        assert found()[0] == want
+
+    pairs = lambda: {(a, b) for x in jaccard.unit_pairs(iter([batch]), 0.7) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)}
+    batch = pa.record_batch([pa.array(key), pa.array(np.arange(len(key)) % 211), pa.array(meta), *[pa.array(np.ascontiguousarray(digest[:, k])) for k in range(4)]], ["key", "unit", "meta", *jaccard.DIGEST])
+    got = pairs()
+    monkeypatch.setattr(jaccard, "MARKED", 5)
+    assert pairs() == got
+    monkeypatch.setattr(jaccard, "LISTED", 10**12)
+    assert pairs() == got and len(got) > 1000
+
+
+def test_a_long_list_is_scanned_without_listing_its_pairs():
+    """8000 entries that share a gram by chance, 32 million pairs: none is listed by index, and memory stays that of a tile."""
+    rng, n = np.random.default_rng(3), 8000
+    key, meta = np.zeros(n, np.int64), np.full(n, 300 << 32 | 2)
+    digest = rng.integers(-(2**63), 2**63 - 1, (n, 4))
+    digest[n // 2] = digest[5]
+    tracemalloc.start()
+    assert not sum(len(i) for i, _ in jaccard.partners(key, meta, digest, 0.7))
+    pairs = {(r + x, c + y) for r, c, ok in jaccard.tiles(key, meta, digest, 0.7) for x, y in np.argwhere(ok).tolist()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (5, n // 2) in pairs and len(pairs) < n
+    assert peak < 16_000_000
+
+
+def test_alike_sets_are_connected_by_few_comparisons(monkeypatch):
+    """Groups are those of all pairs, though a set is compared with a few of its group only."""
+    rng, compared, overlaps = np.random.default_rng(5), [], jaccard.overlaps
+    base = [rng.integers(0, 2**40, 300) for _ in range(3)]
+    sets = [np.unique(np.where(rng.random(300) < 0.06, rng.integers(0, 2**40, 300), base[0 if k < 380 else 1 + k % 2])) for k in range(400)]
+    sets += [np.concatenate([base[1][:250], base[2][250:]]), rng.integers(0, 2**40, 290)]
+    sets = [np.unique(x) for x in sets]
+    a, b, x = np.arange(150), np.arange(150, len(sets)), [frozenset(s.tolist()) for s in sets]
+    monkeypatch.setattr(jaccard, "overlaps", lambda p, q: compared.append(len(p) * len(q)) or overlaps(p, q))
+
+    def groups(blocks, alike):
+        root = np.arange(len(sets))
+        for p, q in blocks:
+            edges = [(i, j) for i in p for j in q if alike(i, j)]
+            root = jaccard.merged(root, *np.array(edges, np.int64).reshape(-1, 2).T)
+        return root.tolist()
+
+    blocks = [(a, a), (a, b), (b, b)]
+    want = groups(blocks, lambda i, j: i < j and len(x[i] & x[j]) >= 0.7 * len(x[i] | x[j]))
+    assert 3 <= len(set(want)) < 10
+    root = np.arange(len(sets))
+
+    def each(i, j, _):
+        nonlocal root
+        root = jaccard.merged(root, i, j)
+
+    for p, q in blocks:
+        jaccard.connect(sets, p, q, 0.7, each, lambda: root)
+    assert root.tolist() == want
+    assert sum(compared) < len(sets) ** 2 / 4
+
+
+def test_near_duplicates_compare_few_sets(table):
+    """The pipeline's stage keeps the same documents as by all links."""
+    rng = random.Random(9)
+    bases = [prose(rng, 150) for _ in range(3)]
+    docs = table([row(i, edited(rng, bases[i % 40 % 3], rng.choice([0.01, 0.05, 0.12]))) for i in range(240)])
+    want = {r.class_id for r in jaccard.links(docs).collect()}
+    assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == want
+    work, _ = jaccard.meetings(docs, 2, 0.7)
+    assert work.mapInArrow(lambda bs: jaccard.connected(bs, 0.7), "a long, b long").count() < 240
+
+
 @pytest.mark.parametrize("vocabulary", [40, 400, 100_000])
 def test_overlaps(vocabulary):
     rng = np.random.default_rng(vocabulary)
