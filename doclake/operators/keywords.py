@@ -7,36 +7,37 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CJK, STOPS, strip
 
-_RUN = 1 << 34  # a position packs run, length (2 to 4) and start, in this order
-
-
-def _grams(run: Column, no: Column) -> Column:
-    """Structs (term, first) of the 2- to 4-grams of a run."""
-    def of_length(n: int) -> Column:
-        starts = F.when(F.length(run) >= n, F.sequence(F.lit(1), F.length(run) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        first = no.cast("long") * _RUN + (n - 2) * (1 << 32)
-        return F.transform(starts, lambda i: F.struct(F.substring(run, i, F.lit(n)).alias("term"), (first + i).alias("first")))
-
-    return F.concat(*[of_length(n) for n in (2, 3, 4)])
+_ONE = "一"  # stands for all stops; its two bytes can't be the end of one CJK character and the start of the next
+_PART = 1 << 21  # estimated bytes of texts a task
 
 
 def _spread(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Documents by key over all tasks before they are blown up: a small file would be one task's work."""
+    """Documents by key over all tasks before they are blown up: a small file would be one task's work, and the terms of a large share would not fit a task's memory."""
     spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return docs.select(key, text).repartition(n, key)
+    docs = docs.select(key, text)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = min(size // _PART, 1 << 13) if size < 1 << 50 else 0  # a larger one says that it isn't known
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, parts)
+    return docs.repartition(n, key)
 
 
 def keywords(docs: DataFrame, key: str = "doc_id", text: str = "text", top: int = 15) -> DataFrame:
     """(key, rank, term, count): character n-grams met twice or more, most frequent first, then by place.
 
     The one exchange is of the texts, by key; counting and ranking then need no other. (An outer explode puts no filter below the
-    exchange, so that whoever spreads the same texts can use it again.)
+    exchange, so that whoever spreads the same texts can use it again.) Runs are cut into n-grams as UTF-16, where a place is found
+    without reading what is before it; all from there to the counts is one stage of generated code.
     """
-    runs = _spread(docs, key, text).select(key, F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(rf"({CJK}+)"), 1)).alias("no", "run")).where("length(run) >= 2")
-    grams = runs.select(key, F.inline(_grams(F.col("run"), F.col("no")))).where(~F.col("term").rlike(f"[{STOPS}]"))
+    marked = F.translate(F.col(text), STOPS, _ONE * len(STOPS))
+    runs = _spread(docs, key, text).select(key, F.posexplode_outer(F.split(marked, rf"[^{CJK[1:-1]}]+", -1)).alias("no", "run")).where("length(run) >= 2")
+    places = runs.select(key, F.col("no").cast("long").alias("no"), F.length("run").alias("size"), F.encode("run", "UTF-16BE").alias("run"))
+    each = places.select("*", F.explode(F.sequence(F.lit(0), F.col("size") * 4 - 5)).alias("k"))  # start and length (from 2; the last of four isn't used)
+    start, more = F.shiftright("k", 2), F.col("k").bitwiseAND(3)
+    first = F.shiftleft("no", 34) + F.shiftleft(more.cast("long"), 32) + start  # run, length and start, in this order
+    grams = each.where((more < 3) & (start + more + 2 <= F.col("size"))).select(key, F.substring("run", start * 2 + 1, more * 2 + 4).alias("term"), first.alias("first"))
+    grams = grams.where(~F.contains("term", F.lit(_ONE.encode("utf-16-be"))))
     counts = grams.groupBy(key, "term").agg(F.count("*").alias("count"), F.min("first").alias("first")).where("count >= 2")
-    return _ranked(counts, key, top)
+    return _ranked(counts, key, top).withColumn("term", F.decode("term", "UTF-16BE"))
 
 
 def _ranked(counts: DataFrame, key: str, top: int) -> DataFrame:
