@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CJK, STOPS, strip
+from ..functions.text import CJK, STOPS, bind, strip
 
 _ONE = "一"  # stands for all stops; its two bytes can't be the end of one CJK character and the start of the next
 _PART = 1 << 21  # estimated bytes of texts a task
@@ -51,15 +51,22 @@ def word_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", top
     return _ranked(found.groupBy(key, "term").agg(F.count("*").alias("count"), F.min("first").alias("first")), key, top)
 
 
-def _times(sentence: Column, pair: Column) -> Column:
-    """Places of a pair of characters, overlapping ones too, which only a pair of equal ones has."""
-    first = F.substring(pair, 1, 1)
-    apart = (F.length(sentence) - F.length(F.replace(sentence, pair, F.lit("")))) / 2
-    return F.when(first != F.substring(pair, 2, 1), apart).otherwise(F.regexp_count(sentence, F.concat(first, F.lit("(?="), first, F.lit(")")))).cast("long")
+def _weights(top: Column) -> Column:
+    """Pairs among the keywords; one of equal characters, which may overlap itself, has a pattern that finds all its places."""
+    def weight(w: Column) -> Column:
+        one, two = F.substring(w["term"], 1, 1), F.substring(w["term"], 2, 1)
+        return F.struct(w["term"].alias("term"), w["count"].alias("count"), F.when(one == two, F.concat(one, F.lit("(?="), two, F.lit(")"))).alias("twice"))
+
+    return F.transform(F.filter(top, lambda w: (w["rank"] <= 20) & (F.length(w["term"]) == 2)), weight)
 
 
 def _score(sentence: Column, weights: Column) -> Column:
-    return F.aggregate(weights, F.lit(0).cast("long"), lambda s, w: s + w["count"] * _times(sentence, w["term"]))
+    """Counts of the pairs at all their places, six times: as many bytes has a pair."""
+    def places(w: Column) -> Column:
+        taken = F.octet_length(sentence) - F.octet_length(F.replace(sentence, w["term"], F.lit("")))
+        return F.when(w["twice"].isNull(), taken).otherwise(F.regexp_count(sentence, w["twice"]) * 6)
+
+    return F.aggregate(weights, F.lit(0).cast("long"), lambda s, w: s + w["count"] * places(w))
 
 
 def analysed(docs: DataFrame, key: str = "doc_id", text: str = "text", top: int = 15, most: int = 5) -> DataFrame:
@@ -73,8 +80,7 @@ def analysed(docs: DataFrame, key: str = "doc_id", text: str = "text", top: int
     none = F.array().cast("array<struct<rank:bigint,term:string,count:bigint>>")
     sentences = F.filter(F.transform(F.split(F.col(text), "[。！？\n]", -1), strip), lambda s: F.length(s) > 10)
     both = _spread(docs, key, text).join(ranked, key, "left").select(key, F.col(text).alias("text"), sentences.alias("sentences"), F.coalesce("top", none).alias("top"))
-    weights = F.filter("top", lambda w: (w["rank"] <= 20) & (F.length(w["term"]) == 2))
-    scored = F.transform("sentences", lambda s, i: F.struct((-_score(s, weights)).alias("k"), i.alias("i"), s.alias("s")))
+    scored = bind(_weights(F.col("top")), lambda weights: F.transform("sentences", lambda s, i: F.struct((-_score(s, weights)).alias("k"), i.alias("i"), s.alias("s"))))
     picked = F.transform(F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, most), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
     summary = F.when(F.size("sentences") == 0, F.substring("text", 1, 200)).otherwise(F.concat(F.array_join(picked, "。"), F.lit("。")))
     words = F.transform(F.filter("top", lambda w: w["rank"] <= top), lambda w: F.struct(w["term"].alias("term"), w["count"].alias("count")))

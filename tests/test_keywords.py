@@ -66,6 +66,12 @@ def test_terms_are_counted_without_patterns_and_lambdas(spark, sf):
     assert "lambda" not in p
 
 
+def test_pairs_are_picked_once_a_document(spark, sf):
+    p = plan(keywords.summaries(spark.read.parquet(f"{sf}/documents.parquet")))
+    assert "(octet_length(" in p  # sizes in place of characters counted for each sentence and pair
+    assert p.count("twice") > 0
+
+
 def test_a_task_has_a_bounded_share(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     monkeypatch.setattr(keywords, "_PART", 10_000, raising=False)
